@@ -8,12 +8,11 @@ once with the library and then looks it up; the cache is bounded.
 from __future__ import annotations
 
 import os
-import re
+import string
 
 import numpy as np
 
 CACHE = 1_000_000
-_PLAIN = re.compile(r"[^\W\d_]+\Z")
 
 
 class WordEncoder:
@@ -29,7 +28,7 @@ class WordEncoder:
         self.ends[[i for w, i in words.items() if w.endswith("</w>")]] = True
         self.parts: dict[str, bytes] = {"": b""}
         self.stems: dict[str, bytes] = {}
-        self.marks = {m: self._whole(m) for m in ".,"}
+        self.tails: dict[str, bytes] = {"": b""}
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -53,17 +52,24 @@ class WordEncoder:
             self.parts = {"": b""}
         if len(self.stems) > CACHE:
             self.stems = {}
-        split = {}
+        split, rest = {}, []
         for part in new:
-            mark = part[-1] if part[-1] in self.marks else ""
-            stem = part[:-1] if mark else part
-            if len(stem) < 200 and _PLAIN.match(stem):
-                split[part] = stem, mark
+            stem = part.rstrip(string.punctuation)
+            if stem.isalpha() and len(stem) < 200:
+                split[part] = stem, part[len(stem) :]
             else:
-                self.parts[part] = self._whole(part)
+                rest.append(part)
+        for part, found in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
+            self.parts[part] = np.array(found.ids, "<u4").tobytes()
         self._learn_stems([s for s in {s for s, _ in split.values()} if s not in self.stems])
-        for part, (stem, mark) in split.items():
-            self.parts[part] = self.stems[stem] + self.marks[mark] if mark else self.stems[stem]
+        stems, tails = self.stems, self.tails
+        for part, (stem, tail) in split.items():
+            if tail not in tails:  # a run of punctuation is one pre-token
+                if len(tails) > CACHE:
+                    tails.clear()
+                    tails[""] = b""
+                tails[tail] = self._whole(tail)
+            self.parts[part] = stems[stem] + tails[tail]
 
     @staticmethod
     def _cut(text: str) -> list[str]:
@@ -76,14 +82,15 @@ class WordEncoder:
 
     def encode(self, batch: list[str]) -> list[bytes]:
         cut = [self._cut(x) for x in batch]
-        known = self.parts
-        new = {p for parts in cut for p in parts if p not in known}
-        if new:
+        found = [list(map(self.parts.get, parts)) for parts in cut]
+        holes = [i for i, ids in enumerate(found) if None in ids]
+        if holes:
+            new = {p for i in holes for p, ids in zip(cut[i], found[i], strict=True) if ids is None}
             self._learn(new)
-            if self.parts is not known:  # the cache was emptied
-                self._learn({p for parts in cut for p in parts if p} - self.parts.keys())
-        look = self.parts.__getitem__
-        return [b"".join(map(look, parts)) for parts in cut]
+            look = self.parts
+            for i in holes:
+                found[i] = [look[p] if ids is None else ids for p, ids in zip(cut[i], found[i], strict=True)]
+        return [b"".join(ids) for ids in found]
 
 
 _encoders: dict[str, WordEncoder] = {}

@@ -51,11 +51,8 @@ def merkle(leaves: list[bytes]) -> bytes:
     return level[0]
 
 
-def cuts(ids: np.ndarray) -> list[int]:
-    """Ends of the chunks of one id stream, by a rolling hash of the last ``WINDOW`` ids."""
-    n = len(ids)
-    if n <= LEAST:
-        return [n]
+def marks(ids: np.ndarray) -> np.ndarray:
+    """Positions after which the rolling hash of the last ``WINDOW`` ids asks for a cut."""
     rolled = words.mix(ids.astype(np.uint64) + np.uint64(1))
     width, base = 1, int(words._BASE)
     while width < WINDOW:
@@ -63,17 +60,23 @@ def cuts(ids: np.ndarray) -> list[int]:
         moved = rolled.copy()
         moved[width:] += rolled[:-width] * power
         rolled, width = moved, width * 2
-    wanted = np.flatnonzero((rolled >> np.uint64(64 - MEAN_BITS)) == 0) + 1
-    out, at, i = [], 0, 0
-    wanted = wanted.tolist()
-    while n - at > LEAST:
+    return np.flatnonzero((rolled >> np.uint64(64 - MEAN_BITS)) == 0) + 1
+
+
+def cuts(wanted: list[int], at: int, end: int) -> list[int]:
+    """Ends of the chunks of the ids from ``at`` to ``end``; ``wanted`` has the ascending marks among them.
+
+    No chunk but a document's last is shorter than ``LEAST``, which is more than ``WINDOW``, so the ids
+    before ``at`` in the same array have no part in the result.
+    """
+    out, i = [], 0
+    while end - at > LEAST:
         while i < len(wanted) and wanted[i] - at < LEAST:
             i += 1
-        to = min(wanted[i] if i < len(wanted) else n, at + MOST, n)
-        out.append(to)
-        at = to
-    if at < n:
-        out.append(n)
+        at = min(wanted[i] if i < len(wanted) else end, at + MOST, end)
+        out.append(at)
+    if not out or out[-1] < end:
+        out.append(end)
     return out
 
 
@@ -95,16 +98,19 @@ def _cut_documents(path: str | None, end_id: int):
         seen: set[bytes] = set()
         for batch, _, _ in words.groups(batches):
             rows: list[tuple] = []
-            for doc, rid, raw in zip(batch.column("doc_id").to_pylist(), batch.column("rid").to_pylist(), encode(batch.column("text").to_pylist()), strict=True):
-                ids = np.frombuffer(raw + end, "<u4")
-                at = 0
-                for seq, to in enumerate(cuts(ids)):
-                    payload = _pack(ids[at:to])
+            streams = [raw + end for raw in encode(batch.column("text").to_pylist())]
+            ids = np.frombuffer(b"".join(streams), "<u4")
+            wanted, at = marks(ids), 0
+            for doc, rid, stream in zip(batch.column("doc_id").to_pylist(), batch.column("rid").to_pylist(), streams, strict=True):
+                to = at + len(stream) // 4
+                lo, hi = np.searchsorted(wanted, (at, to), side="right")
+                for seq, cut in enumerate(cuts(wanted[lo:hi].tolist(), at, to)):
+                    payload = _pack(ids[at:cut])
                     digest = hashlib.sha256(payload).digest()
-                    rows.append((doc, rid, seq, to - at, digest, None if digest in seen else payload))
+                    rows.append((doc, rid, seq, cut - at, digest, None if digest in seen else payload))
                     if len(seen) < 1_000_000:  # later repeats are only sent once more
                         seen.add(digest)
-                    at = to
+                    at = cut
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
 
     return run
