@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from credence.llm import ann, idstore, langid, licenses, packing, sharding
+from credence.llm import ann, idstore, jaccard, langid, licenses, packing, sharding
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +22,10 @@ def op5_block_matrix_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(spark, _table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.link_documents(spark, _table(spark, sf_dir, "documents"))
+
+
 def op7_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(spark, _table(spark, sf_dir, "documents"))
 
@@ -45,6 +49,7 @@ def op10_id_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_license_scan": op2_license_scan,
     "op5_block_matrix_ann": op5_block_matrix_ann,
+    "op6_ngram_jaccard": op6_ngram_jaccard,
     "op7_pack_sequences": op7_pack_sequences,
     "op8_language_id": op8_language_id,
     "op9_minimax_shards": op9_minimax_shards,
