@@ -365,3 +365,16 @@ class _Bits:
 
     def __getitem__(self, i: int) -> bool:
         return bool(self.packed.value[i >> 3] >> (7 - (i & 7)) & 1)
+
+
+def one_of_each(spark: SparkSession, documents: DataFrame) -> DataFrame:
+    """The documents without those whose component holds a smaller id.
+
+    Of rows with the same id and the same text one stays; other rows with the same id are told apart by their text. Rows without an id stay.
+    """
+    found = link_documents(spark, documents)
+    repeats = found.where("doc_id <> component_id").select(F.col("doc_id").alias("__repeat")).distinct()
+    kept = documents.join(repeats, F.col("doc_id").cast("long") == F.col("__repeat"), "left_anti")
+    if not found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count():
+        return kept
+    return kept.where("doc_id is null").unionByName(kept.where("doc_id is not null").dropDuplicates(["doc_id", "text"]))

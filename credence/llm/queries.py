@@ -7,17 +7,29 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from credence.llm import ann, idstore, jaccard, langid, licenses, packing, sharding
+from credence.llm import ann, decontam, idstore, jaccard, langid, licenses, packing, pii, quality, sharding
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(spark, _table(spark, sf_dir, "documents"))
+
+
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.summarise(licenses.detect(_table(spark, sf_dir, "documents")))
 
 
+def op3_co_training(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score(spark, _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op4_latent_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.leaks(spark, _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op5_block_matrix_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(spark, _table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
@@ -47,7 +59,10 @@ def op10_id_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_pii_spans": op1_pii_spans,
     "op2_license_scan": op2_license_scan,
+    "op3_co_training": op3_co_training,
+    "op4_latent_decontamination": op4_latent_decontamination,
     "op5_block_matrix_ann": op5_block_matrix_ann,
     "op6_ngram_jaccard": op6_ngram_jaccard,
     "op7_pack_sequences": op7_pack_sequences,
