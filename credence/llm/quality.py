@@ -1,6 +1,6 @@
 """Operator 3: a quality classifier by co-training.
 
-Two views of a document: its text content (presence of hashed words) and its page metadata (source, language, length and layout
+Two views of a document: its text content (presence of hashed words and word beginnings) and its page metadata (source, language, length and layout
 statistics in bins). A classifier is fitted on each from the labelled rows, then for some rounds each hands its most confident
 pseudo-labels on unlabelled documents to the other, in the proportion of the labels. Both are calibrated on labelled rows that
 training left out, and a logistic combination of the two calibrated views scores every whole document.
@@ -29,7 +29,7 @@ from credence.llm import common, words
 
 LABELLED, UNLABELLED = 12_000, 6_000
 DIMS, META = 1 << 20, 512
-Z, ROUNDS, HANDED = 5.0, 4, 0.05
+STEM, SEEN, Z, ROUNDS, HANDED, SURE = 5, 10, 6.0, 4, 0.05, 3.5
 KEEP = 0.5
 
 _CLASS = np.zeros(256, np.int64)
@@ -52,18 +52,23 @@ def _bin(x: np.ndarray, edges: list[float]) -> np.ndarray:
 def _features(batch: pa.RecordBatch, raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Word buckets of all texts and their bounds; metadata features (documents x features, as indexes below META)."""
     h, bounds = words.word_hashes(raw, offs, words.PUNCT)
-    dims = (h >> np.uint64(44)).astype(np.int64)
+    stems, _ = words.word_hashes(raw, offs, words.PUNCT, prefix=STEM)
+    dims = np.empty((len(h), 2), np.int64)  # each word, and its first bytes, which its inflected forms share
+    dims[:, 0] = h >> np.uint64(44)
+    dims[:, 1] = words.mix(stems + np.uint64(STEM)) >> np.uint64(44)
+    dims = dims.ravel()
+    bounds = 2 * bounds
     n = batch.num_rows
     counts = np.zeros((n, 10))
     for i, (a, b) in enumerate(zip(offs[:-1], offs[1:], strict=True)):
         counts[i] = np.bincount(_CLASS[raw[a:b]], minlength=10)
     size = np.maximum(counts.sum(axis=1), 1)
     share = counts / size[:, None]
-    n_words = np.diff(bounds)
+    n_words = np.diff(bounds) // 2
     lines, line_bounds = words.word_hashes(raw, offs, _LINE)
     n_lines = np.diff(line_bounds)
     repeated = np.array([1 - len(np.unique(lines[a:b])) / max(1, b - a) for a, b in zip(line_bounds[:-1], line_bounds[1:], strict=True)])
-    variety = np.array([len(np.unique(dims[a:b])) / max(1, b - a) for a, b in zip(bounds[:-1], bounds[1:], strict=True)])
+    variety = np.array([len(np.unique(dims[a:b:2])) / max(1, (b - a) // 2) for a, b in zip(bounds[:-1], bounds[1:], strict=True)])
     fine = [0.0005, 0.002, 0.005, 0.01, 0.02, 0.04, 0.08, 0.15, 0.3, 0.6]
     stats = [_bin(share[:, k], fine) for k in (0, 2, 3, 5, 6, 7, 8, 9)]
     stats.append(_bin(np.log2(size), list(range(3, 18))))
@@ -99,7 +104,7 @@ class View:
     def raw(self, sets: list[np.ndarray]) -> np.ndarray:
         return np.array([self.weights[s].sum() for s in sets]) + self.bias if sets else np.zeros(0)
 
-    def fit(self, sets: list[np.ndarray], good: np.ndarray, used: np.ndarray | None, steps: int = 150, ridge: float = 1e-3) -> None:
+    def fit(self, sets: list[np.ndarray], good: np.ndarray, used: np.ndarray | None, steps: int = 300, ridge: float = 1e-4) -> None:
         size = len(self.weights)
         if used is not None:
             place = np.full(size, -1, np.int64)
@@ -147,12 +152,14 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> np.ndarray:
 
 
 def _telling(sets: list[np.ndarray], good: np.ndarray) -> np.ndarray:
-    """Word features whose rate differs between the classes by ``Z`` standard errors."""
-    in_good = np.bincount(np.concatenate([np.zeros(0, np.int64), *(s for s, g in zip(sets, good, strict=True) if g)]), minlength=DIMS) + 0.5
-    in_bad = np.bincount(np.concatenate([np.zeros(0, np.int64), *(s for s, g in zip(sets, good, strict=True) if not g)]), minlength=DIMS) + 0.5
-    n_good, n_bad = good.sum() + 1, (~good).sum() + 1
-    gap = np.log(in_bad / n_bad) - np.log(in_good / n_good)
-    return np.flatnonzero(np.abs(gap) / np.sqrt(1 / in_good + 1 / in_bad) >= Z)
+    """Word features of at least ``SEEN`` documents whose rate differs between the classes by ``Z`` standard errors."""
+    none = np.zeros(0, np.int64)
+    in_good = np.bincount(np.concatenate([none, *(s for s, g in zip(sets, good, strict=True) if g)]), minlength=DIMS)
+    in_bad = np.bincount(np.concatenate([none, *(s for s, g in zip(sets, good, strict=True) if not g)]), minlength=DIMS)
+    n_good, n_bad = max(1, good.sum()), max(1, (~good).sum())
+    pooled = (in_good + in_bad) / (n_good + n_bad)
+    error = np.sqrt(np.maximum(pooled * (1 - pooled), 1e-12) * (1 / n_good + 1 / n_bad))
+    return np.flatnonzero((in_good + in_bad >= SEEN) & (np.abs(in_bad / n_bad - in_good / n_good) >= Z * error))
 
 
 @dataclass
@@ -178,6 +185,7 @@ def co_train(labelled: list[tuple[bool, np.ndarray, np.ndarray]], unlabelled: li
     start = [labelled[i] for i in train]
     given = {"text": [(g, w, m) for g, w, m in start], "meta": [(g, w, m) for g, w, m in start]}
     pool = list(range(len(unlabelled)))
+    rest = [labelled[i] for i in np.flatnonzero(held)]
     text, meta = View(DIMS), View(META)
     for step in range(ROUNDS + 1):
         y = np.array([g for g, _, _ in given["text"]], bool)
@@ -186,21 +194,23 @@ def co_train(labelled: list[tuple[bool, np.ndarray, np.ndarray]], unlabelled: li
         meta.fit([m for _, _, m in given["meta"]], np.array([g for g, _, _ in given["meta"]], bool), None)
         if step == ROUNDS or not pool:
             break
-        by_text = text.raw([unlabelled[i][0] for i in pool])
-        by_meta = meta.raw([unlabelled[i][1] for i in pool])
+        text.calibrate([w for _, w, _ in rest], good[held])
+        meta.calibrate([m for _, _, m in rest], good[held])
+        by_text = text.logit([unlabelled[i][0] for i in pool])
+        by_meta = meta.logit([unlabelled[i][1] for i in pool])
         n = max(2, int(HANDED * len(unlabelled)))
         n_good = max(1, round(n * good.mean()))
         taken: set[int] = set()
-        for scores, to in ((by_text, "meta"), (by_meta, "text")):
+        for scores, other, to in ((by_text, by_meta, "meta"), (by_meta, by_text, "text")):
             order = np.argsort(scores, kind="stable")
-            sure = {True: [k for k in order[::-1][:n_good] if scores[k] > 2], False: [k for k in order[: max(1, n - n_good)] if scores[k] < -2]}
+            # confident by its calibrated score, and not against the other view's own confidence
+            sure = {True: [k for k in order[::-1][:n_good] if scores[k] > SURE > -other[k]], False: [k for k in order[: max(1, n - n_good)] if -scores[k] > SURE > other[k]]}
             for label, chosen in sure.items():
                 for k in chosen:
                     if k not in taken:
                         given[to].append((label, *unlabelled[pool[k]]))
                         taken.add(int(k))
         pool = [p for k, p in enumerate(pool) if k not in taken]
-    rest = [labelled[i] for i in np.flatnonzero(held)]
     y = good[held]
     text.calibrate([w for _, w, _ in rest], y)
     meta.calibrate([m for _, _, m in rest], y)
@@ -248,6 +258,8 @@ def train(spark: SparkSession, documents: DataFrame, labels: DataFrame, seed: in
     got = mixed.mapInArrow(_examples, "doc_id long, good boolean, words binary, meta binary").collect()
     rows = sorted(((r["doc_id"] is None, r["doc_id"] or 0, r["good"], bytes(r["words"]), bytes(r["meta"])) for r in got), key=lambda r: (r[0], r[1], r[3], r[4]))
     read = lambda r: (np.frombuffer(r[3], np.uint32).astype(np.int64), np.frombuffer(r[4], np.uint16).astype(np.int64))
+    once = {(r[2], r[3]): r for r in reversed(rows)}.values()  # copies of a document would outweigh the others
+    rows = sorted(once, key=lambda r: (r[0], r[1], r[3], r[4]))
     return co_train([(r[2], *read(r)) for r in rows if r[2] is not None], [read(r) for r in rows if r[2] is None])
 
 

@@ -94,9 +94,11 @@ def groups(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[
             first = last
 
 
-def word_hashes(raw: np.ndarray, offs: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(raw: np.ndarray, offs: np.ndarray, table: np.ndarray, prefix: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words of the texts, and where each text's words begin (n + 1 offsets).
 
+    With ``prefix``, hashes of the words' first so many bytes instead.
+
     ``table`` decides what a word is: bytes that it maps to 0 separate words.
     """
     hashes: list[np.ndarray] = []
@@ -127,11 +129,14 @@ def word_hashes(raw: np.ndarray, offs: np.ndarray, table: np.ndarray) -> tuple[n
         after[-1] = False
         after[:-1] = is_word[1:]
         ends = np.flatnonzero(is_word & (~after | cut[1:])) + 1
+        place = starts + at
+        if prefix:
+            ends = np.minimum(ends, starts + prefix)
         up, down = _power_tables(to - at + 1)
         total = np.zeros(to - at + 1, np.uint64)
         np.cumsum((low.astype(np.uint64) + np.uint64(1)) * up[: to - at], out=total[1:])
         hashes.append(mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64)))
-        places.append(starts + at)
+        places.append(place)
         at = to
     if not hashes:
         return np.zeros(0, np.uint64), np.zeros(len(offs), np.int64)
