@@ -211,7 +211,7 @@ class ReliabilityAudit:
             results.append(result)
             scenarios = scenarios.unionByName(more)
         results.append(self.check_identification(touches))
-        if any(f.code == "exact_duplicates" for f in results[1].findings):
+        if duplicates.duplicate_counts(self.events, self.columns).first()["exact"]:
             clean = attribution.attribute_all(self._journeys(duplicates.deduplicate(frame)), ["linear" if "linear" in self.models else self.models[0]])
             scenarios = scenarios.unionByName(clean.withColumn("scenario", F.lit("duplicate_handling:deduplicated")))
         baseline = f"model:{'linear' if 'linear' in self.models else self.models[0]}"
