@@ -275,12 +275,12 @@ def keep_good(spark: SparkSession, documents: DataFrame, labels: DataFrame) -> D
     """The documents that the classifier keeps, with all their columns; each row is judged by itself."""
     common.short_batches(spark)
     shared = spark.sparkContext.broadcast(train(spark, documents, labels))
-    run = _score(shared)
+    run, names = _score(shared), list(documents.columns)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             scores = np.concatenate([out.column("score").to_numpy() for out in run(iter([batch.select(["doc_id", "__source", "__lang", "__text"]).rename_columns(["doc_id", "source", "lang", "text"])]))]) if batch.num_rows else np.zeros(0)
-            yield batch.select(documents.columns).filter(pa.array(scores >= KEEP))
+            yield batch.select(names).filter(pa.array(scores >= KEEP))
 
     given = {c.lower(): c for c in documents.columns}
     shown = documents.select("*", *(F.col(given[c]).cast("string").alias(f"__{c}") if c in given else F.lit(None).cast("string").alias(f"__{c}") for c in ("source", "lang")), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("__text"))
