@@ -23,10 +23,10 @@ def components(edges: DataFrame) -> DataFrame:
     while before[0]:
         both = kept.select(F.col("u").alias("x"), F.col("v").alias("y")).unionByName(kept.select(F.col("v").alias("x"), F.col("u").alias("y")))
         least = both.groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("x", "m").alias("m"))
-        large = both.where("y > x").join(least, "x").select(F.col("y").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.where("y > x").join(least.hint("merge"), "x").select(F.col("y").alias("u"), F.col("m").alias("v")).distinct()
         large = common.stage(large, "large-star")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
+        small = large.join(least.hint("merge"), "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
         new = common.stage(small.distinct(), "small-star")
         common.drop(kept)
         common.drop(large)

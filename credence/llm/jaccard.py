@@ -135,6 +135,7 @@ def _prefixes(order: object, buckets: int):
         size = np.concatenate(sizes)
         token, node, low, high, left, right = _chains(np.concatenate(tokens), np.concatenate(nodes), size, size)
         bucket = (token % np.uint64(buckets)).astype(np.int64)
+        short = (token // np.uint64(buckets)).astype(np.uint32)  # equal shingles stay equal; unequal ones that meet only make a block larger
         by = np.argsort(bucket, kind="stable")
         ends = np.searchsorted(bucket[by], np.arange(buckets + 1))
         e_bucket = left % buckets
@@ -143,24 +144,32 @@ def _prefixes(order: object, buckets: int):
         for k in range(buckets):
             i, j = by[ends[k] : ends[k + 1]], e_by[e_ends[k] : e_ends[k + 1]]
             if len(i) or len(j):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([k], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in (token[i], node[i], low[i].astype(np.uint32), high[i].astype(np.uint32), left[j], right[j]))],
-                    names=["bucket", "token", "node", "low", "high", "a", "b"],
-                )
+                names, first, place = np.unique(node[i], return_index=True, return_inverse=True)
+                wide = np.flatnonzero(high[i] != low[i])  # a chain begins with its shortest set, so only its greatest length is more
+                parts = (short[i], place.astype(np.uint32), names, low[i][first].astype(np.uint32), wide.astype(np.uint32), high[i][wide].astype(np.uint32), left[j], right[j])
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in parts)], names=["bucket", *_PACKED])
 
     return run
 
 
+_PACKED = {"token": np.uint32, "place": np.uint32, "node": np.int64, "size": np.uint32, "wide": np.uint32, "high": np.uint32, "a": np.int64, "b": np.int64}
+
+
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """All tasks' chains of some buckets: edges between nodes, one for each node and bucket group at most."""
     columns: dict[str, list[np.ndarray]] = {c: [] for c in ("token", "node", "low", "high", "a", "b")}
-    kinds = {"token": np.uint64, "low": np.uint32, "high": np.uint32}
     for batch in batches:
-        for c, parts in columns.items():
-            parts.extend(np.frombuffer(x, kinds.get(c, np.int64)) for x in batch.column(c).to_pylist())
+        for row in zip(batch.column("bucket").to_pylist(), *(batch.column(c).to_pylist() for c in _PACKED), strict=True):
+            token, place, names, size, wide, far, a, b = (np.frombuffer(x, kind) for x, kind in zip(row[1:], _PACKED.values(), strict=True))
+            high = size[place].copy()
+            high[wide] = far
+            # a task may hold several buckets: the bucket keeps their shortened shingles apart
+            parts = (np.uint64(row[0]) << np.uint64(32) | token.astype(np.uint64), names[place], size[place], high, a, b)
+            for column, part in zip(columns.values(), parts, strict=True):
+                column.append(part)
     if not columns["token"]:
         return
-    token, node, low, high, left, right = (np.concatenate(columns[c]) for c in columns)
+    token, node, low, high, left, right = (np.concatenate(c) for c in columns.values())
     single = np.ones(len(token), bool)
     order = np.argsort(token, kind="stable")
     same = token[order][1:] == token[order][:-1]
@@ -305,10 +314,10 @@ def _join_tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _tiles(held: DataFrame) -> DataFrame:
-    """tile, side, node, shingles: small blocks as one tile, large ones as pairs of cells."""
+    """tile, side, node for (node, n, root): small blocks as one tile, large ones as pairs of cells."""
     weights = held.groupBy("root").agg(F.sum("n").alias("weight"))
     placed = held.join(weights, "root")
-    small = placed.where(F.col("weight") <= WEIGHT).select(F.col("root").cast("string").alias("tile"), F.lit(-1).alias("side"), "node", "shingles")
+    small = placed.where(F.col("weight") <= WEIGHT).select(F.col("root").cast("string").alias("tile"), F.lit(-1).alias("side"), "node")
     large = placed.where(F.col("weight") > WEIGHT).withColumn("cls", F.floor(F.ln(F.col("n").cast("double")) / F.lit(math.log(CLASS)) + F.lit(1e-9)).cast("int"))
     cells = large.groupBy("root", "cls").agg(F.greatest(F.ceil(F.sum("n") * 2 / F.lit(WEIGHT)).cast("int"), F.lit(1)).alias("k"))
     near = cells.select("root", (F.col("cls") + 1).alias("cls"), F.col("k").alias("k_before"))
@@ -324,7 +333,7 @@ def _tiles(held: DataFrame) -> DataFrame:
     own = F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda j: key(cls, cls, F.least(i, j), F.greatest(i, j), F.when(i == j, F.lit(-1)).otherwise((i > j).cast("int"))))
     up = F.when(F.col("k_after").isNull(), none).otherwise(F.transform(F.sequence(F.lit(0), F.coalesce("k_after", F.lit(1)) - 1), lambda j: key(cls, cls + 1, i, j, F.lit(0))))
     down = F.when(F.col("k_before").isNull(), none).otherwise(F.transform(F.sequence(F.lit(0), F.coalesce("k_before", F.lit(1)) - 1), lambda j: key(cls - 1, cls, j, i, F.lit(1))))
-    spread = dealt.select("node", "shingles", F.explode(F.concat(own, up, down)).alias("at")).select("at.tile", "at.side", "node", "shingles")
+    spread = dealt.select("node", F.explode(F.concat(own, up, down)).alias("at")).select("at.tile", "at.side", "node")
     return small.unionByName(spread)
 
 
@@ -336,19 +345,22 @@ def link_documents(spark: SparkSession, documents: DataFrame) -> DataFrame:
     text = rows.select("text")
     counts = vectors.summed(text, _count_shingles, BUCKETS)
     order = spark.sparkContext.broadcast(np.minimum(counts, 65535).astype(np.uint16))  # 8 MB whatever the input
-    packed = text.mapInArrow(_prefixes(order, n), "bucket int, token binary, node binary, low binary, high binary, a binary, b binary")
+    packed = text.mapInArrow(_prefixes(order, n), "bucket int, " + ", ".join(f"{c} binary" for c in _PACKED))
     edges = packed.repartition(n, "bucket").mapInArrow(_meet, "a long, b long")
     blocks = common.stage(components(edges), "blocks")
     bits = spark.sparkContext.broadcast(np.packbits(vectors.summed(blocks.select("node"), _member_bits, BLOOM, presence=True) > 0))
     docs = common.stage(rows.mapInArrow(_documents(_Bits(bits)), "doc_id long, node long, n long, shingles binary"), "sets")
-    held = docs.where("shingles is not null").select("node", "n", "shingles").join(blocks, "node")
-    tiles = _tiles(held).repartition(n, "tile").sortWithinPartitions("tile", "node")
+    sets = docs.where("shingles is not null")
+    members = sets.select("node", "n").distinct().join(blocks, "node")
+    # the sets themselves move twice: to their nodes' tiles' names, and to the tiles
+    named = sets.select("node", "shingles").join(_tiles(members).hint("merge"), "node")
+    tiles = named.repartition(n, "tile").sortWithinPartitions("tile", "node")
     links = tiles.mapInArrow(_join_tiles, "a long, b long")
     classes = components(links)
     least = docs.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"))
-    named = least.join(classes, "node", "left").withColumn("class", F.coalesce("root", "node"))
-    ids = named.groupBy("class").agg(F.min("least").alias("component_id"))
-    by_node = named.join(ids, "class").select("node", "component_id")
+    classed = least.join(classes, "node", "left").withColumn("class", F.coalesce("root", "node"))
+    ids = classed.groupBy("class").agg(F.min("least").alias("component_id"))
+    by_node = classed.join(ids, "class").select("node", "component_id")
     out = docs.select("doc_id", "node", F.col("n").alias("n_shingles")).join(by_node, "node", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
