@@ -5,7 +5,7 @@ are counted over all passages of all documents (runs of ``WINDOW`` words, one ev
 TF-IDF matrix whose ``RANK`` leading right singular vectors come from a distributed randomised SVD: partitions multiply their
 rows with a random sketch, the products are summed, twice with an orthonormal step between. The subspace is that of the
 benchmark, since only what lies in it adds to a product with a benchmark passage. Each document passage is projected; the cosine
-with its full TF-IDF length gives candidates. A candidate is checked on the words around it: the longest common subsequence with the
+with its full TF-IDF length gives candidates. Words in more than ``STOP`` of all passages (and ``STOP_LEAST`` at least) weigh nothing. A candidate is checked on the words around it: the longest common subsequence with the
 whole item (bit-parallel), within a stretch of bounded length. ``VERBATIM`` of the item's words in order is a leak; from
 ``PARAPHRASE`` on it is one if the item's answer (its last sentence) is found there in order, too.
 
@@ -31,7 +31,8 @@ from credence.llm import common, vectors, words
 
 WINDOW, STRIDE = 48, 24
 ITEMS, RANK, OVERSAMPLE = 256, 256, 16
-COSINE, VERBATIM, PARAPHRASE, ANSWER = 0.25, 0.8, 0.55, 0.6
+COSINE, VERBATIM, PARAPHRASE, ANSWER = 0.3, 0.8, 0.55, 0.6
+STOP, STOP_LEAST = 0.01, 50
 LEAK = "doc_id long, item_id long, start_word long, matched long, item_words long, cosine double, verbatim boolean"
 
 
@@ -189,26 +190,23 @@ def _search(shared: object):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items, idf, other, gain, item_of = shared.value
         square = np.append(idf * idf, other * other)  # the last: words outside the benchmark
+        most = np.append(np.maximum(gain.max(axis=1), 0).astype(np.float64), 0.0)
         rows: list[tuple] = []
         for docs, part, flat, start, (end, owner) in _passages(batches):
             if not len(start):
                 continue
             mass = np.concatenate([[0.0], np.cumsum(square[flat])])
-            known = np.concatenate([[0.0], np.cumsum(np.where(flat >= 0, square[flat], 0.0))])
-            length = mass[end] - mass[start]
-            # the cosine is at most the share of the passage's length that lies in the benchmark's words
-            may = np.flatnonzero(known[end] - known[start] >= COSINE**2 * length)
+            bound = np.concatenate([[0.0], np.cumsum(most[flat])])
+            length = np.sqrt(np.maximum(mass[end] - mass[start], 1e-12))
+            # no product is larger than the sum of each word's largest part in any
+            may = np.flatnonzero(bound[end] - bound[start] >= COSINE * length)
+            live = np.flatnonzero(most[flat] > 0)
+            lo, hi = np.searchsorted(live, start[may]), np.searchsorted(live, end[may])
             for at in range(0, len(may), 512):
-                chosen = may[at : at + 512]
-                spans = [flat[s:e] for s, e in zip(start[chosen], end[chosen], strict=True)]
-                inside = [s[s >= 0] for s in spans]
-                inside_n = np.array([len(s) for s in inside])
-                keep = inside_n > 0
-                chosen, inside_n = chosen[keep], inside_n[keep]
-                if not len(chosen):
-                    continue
-                every = np.concatenate(inside)
-                scores = np.add.reduceat(gain[every], np.concatenate([[0], np.cumsum(inside_n)[:-1]]), axis=0) / np.sqrt(length[chosen])[:, None]
+                chosen, first, count = may[at : at + 512], lo[at : at + 512], (hi - lo)[at : at + 512]
+                begin = np.concatenate([[0], np.cumsum(count)[:-1]])
+                every = flat[live[np.repeat(first - begin, count) + np.arange(count.sum())]]
+                scores = np.add.reduceat(gain[every], begin, axis=0) / length[chosen][:, None]
                 for p, q in zip(*np.nonzero(scores >= COSINE), strict=True):
                     rows.append((owner[chosen[p]], item_of[q], start[chosen[p]], float(scores[p, q])))
             if not rows:
@@ -241,7 +239,7 @@ def _search_block(spark: SparkSession, rows: DataFrame, items: Items) -> DataFra
     columns = common.stage(rows.mapInArrow(_to_columns(items.vocabulary), "doc_id long, columns binary"), "columns")
     counted = vectors.summed(columns, _frequencies(width), width + 1)
     n = max(1, int(counted[width]))
-    idf = np.log((n + 1) / (counted[:width] + 1))
+    idf = np.where(counted[:width] > max(STOP * n, STOP_LEAST), 0.0, np.log((n + 1) / (counted[:width] + 1)))
     passages = _tfidf(items, idf)
     basis = _basis(spark, passages, width)
     matrix = np.zeros((width, len(passages)))
@@ -249,7 +247,7 @@ def _search_block(spark: SparkSession, rows: DataFrame, items: Items) -> DataFra
         matrix[c, k] = w
     gain = (idf[:, None] * (basis @ (basis.T @ matrix))).astype(np.float32)  # what a word adds to each latent product
     item_of = np.array([i for i, _, _ in passages])
-    shared = spark.sparkContext.broadcast((items, idf, float(np.median(idf)), gain, item_of))
+    shared = spark.sparkContext.broadcast((items, idf, float(np.median(idf[idf > 0])) if idf.any() else 1.0, gain, item_of))
     return columns.mapInArrow(_search(shared), LEAK)
 
 
