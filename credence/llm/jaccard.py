@@ -345,8 +345,9 @@ def link_documents(spark: SparkSession, documents: DataFrame) -> DataFrame:
     text = rows.select("text")
     counts = vectors.summed(text, _count_shingles, BUCKETS)
     order = spark.sparkContext.broadcast(np.minimum(counts, 65535).astype(np.uint16))  # 8 MB whatever the input
-    packed = text.mapInArrow(_prefixes(order, n), "bucket int, " + ", ".join(f"{c} binary" for c in _PACKED))
-    edges = packed.repartition(n, "bucket").mapInArrow(_meet, "a long, b long")
+    buckets = max(4, n // 4)  # fewer buckets join more of a block at once, so fewer edges remain
+    packed = text.mapInArrow(_prefixes(order, buckets), "bucket int, " + ", ".join(f"{c} binary" for c in _PACKED))
+    edges = packed.repartition(buckets, "bucket").mapInArrow(_meet, "a long, b long")
     blocks = common.stage(components(edges), "blocks")
     bits = spark.sparkContext.broadcast(np.packbits(vectors.summed(blocks.select("node"), _member_bits, BLOOM, presence=True) > 0))
     docs = common.stage(rows.mapInArrow(_documents(_Bits(bits)), "doc_id long, node long, n long, shingles binary"), "sets")
