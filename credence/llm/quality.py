@@ -153,7 +153,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> np.ndarray:
 
 def _telling(sets: list[np.ndarray], good: np.ndarray) -> np.ndarray:
     """Word features of at least ``SEEN`` documents whose rate differs between the classes by ``Z`` standard errors."""
-    none = np.zeros(0, np.int64)
+    none = np.zeros(0, np.int32)
     in_good = np.bincount(np.concatenate([none, *(s for s, g in zip(sets, good, strict=True) if g)]), minlength=DIMS)
     in_bad = np.bincount(np.concatenate([none, *(s for s, g in zip(sets, good, strict=True) if not g)]), minlength=DIMS)
     n_good, n_bad = max(1, good.sum()), max(1, (~good).sum())
@@ -257,7 +257,7 @@ def train(spark: SparkSession, documents: DataFrame, labels: DataFrame, seed: in
     mixed = views.join(chosen, "doc_id", "left").where(F.col("good").isNotNull() | (hashed(seed + 1, "doc_id") < round(others * 1_000_000)))
     got = mixed.mapInArrow(_examples, "doc_id long, good boolean, words binary, meta binary").collect()
     rows = sorted(((r["doc_id"] is None, r["doc_id"] or 0, r["good"], bytes(r["words"]), bytes(r["meta"])) for r in got), key=lambda r: (r[0], r[1], r[3], r[4]))
-    read = lambda r: (np.frombuffer(r[3], np.uint32).astype(np.int64), np.frombuffer(r[4], np.uint16).astype(np.int64))
+    read = lambda r: (np.frombuffer(r[3], np.int32), np.frombuffer(r[4], np.uint16).astype(np.int32))
     once = {(r[2], r[3]): r for r in reversed(rows)}.values()  # copies of a document would outweigh the others
     rows = sorted(once, key=lambda r: (r[0], r[1], r[3], r[4]))
     return co_train([(r[2], *read(r)) for r in rows if r[2] is not None], [read(r) for r in rows if r[2] is None])

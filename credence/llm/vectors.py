@@ -37,7 +37,7 @@ def _add(total: np.ndarray, packed: bytes) -> None:
 def summed(df: DataFrame, indexes: Callable[[Iterator[pa.RecordBatch]], Iterator[np.ndarray]], length: int, presence: bool = False) -> np.ndarray:
     """How often each index below ``length`` comes in the index arrays that ``indexes`` yields over the table.
 
-    With ``presence`` only whether a task had it at all counts, which bounds the counts by the number of tasks.
+    With ``presence``: 1 where it comes at all, as bytes.
     """
     width = -(-length // BLOCKS)
 
@@ -75,7 +75,10 @@ def summed(df: DataFrame, indexes: Callable[[Iterator[pa.RecordBatch]], Iterator
         return pd.DataFrame({"block": [block], "counts": [_packed(total)]})
 
     kind = "block int, counts binary"
-    out = np.zeros(length, np.int64)
+    out = np.zeros(length, np.uint8 if presence else np.int64)
     for r in df.mapInArrow(run, kind).groupBy("block").applyInPandas(add, kind).collect():  # BLOCKS rows at most
-        _add(out[r["block"] * width : (r["block"] + 1) * width], bytes(r["counts"]))
+        part = out[r["block"] * width : (r["block"] + 1) * width]
+        total = np.zeros(len(part), np.int64)
+        _add(total, bytes(r["counts"]))
+        part[:] = total > 0 if presence else total
     return out
