@@ -1,11 +1,12 @@
 """Operator 6: self-join of documents by the Jaccard similarity of their word shingles.
 
 Prefix filtering, rare first. (1) A count of all shingles in ``BUCKETS`` hash buckets gives one global order, rarest
-bucket first. (2) With threshold t, two sets link only if they share one of their ``n - ceil(t n) + 1`` first shingles.
-Only these are dealt out by shingle. There, documents of a shingle are chained where their lengths allow a link;
+bucket first. (2) With threshold t, two sets link only if they share k of their ``n - ceil(t n) + k`` first shingles, for each k.
+Only these are dealt out by shingle, with k a tenth of the set. There, documents of a shingle are chained where their lengths allow a link;
 a task chains its own documents first and sends on only the ends of a chain, so a shingle in very many
 documents stays a few rows a task. (3) The chains' connected components are disjoint blocks that
-hold every possible link. (4) Each block is joined by itself: exact local order, prefix index, length, positional and suffix
+hold every possible link. A set of whose first shingles fewer than the k of its smallest possible partner are in any chain of two sets
+links with nothing and leaves its block; this holds back texts that share a passage only, however coarse the order is. (4) Each block is joined by itself: exact local order, prefix index, length, positional and suffix
 filters, then each surviving pair is verified once on its whole sets with integers. A pair already
 connected by other links is not verified, since only components are asked for. A block of more than ``WEIGHT``
 shingles is dealt over tiles: cells of a length class and a salt meet in pairs of equal or neighbouring classes.
@@ -62,6 +63,16 @@ def prefix_length(n: np.ndarray | int):
     return n - (PERCENT * n + 99) // 100 + 1
 
 
+def _overlap(n):
+    """How many of their first shingles linked sets must share, if neither has fewer than ``n``."""
+    return n // 10 + 1
+
+
+def long_prefix(n: np.ndarray | int):
+    """How many first shingles of a set of ``n`` are dealt out."""
+    return prefix_length(n) - 1 + _overlap(n)
+
+
 class Union:
     """Disjoint sets over 0 .. n - 1; the smaller index is the root."""
 
@@ -83,12 +94,16 @@ class Union:
         return True
 
 
-def _chains(token: np.ndarray, node: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Rows of equal tokens chained where lengths allow a link: for each chain token, one node, least and greatest length; and the edges."""
+def _chains(token: np.ndarray, node: np.ndarray, low: np.ndarray, high: np.ndarray, fresh: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Rows of equal tokens chained where lengths allow a link.
+
+    For each chain: token, one node, least and greatest length, whether it has two nodes; then the edges; then, for
+    each ``fresh`` row in a chain of two nodes, its node and least length.
+    """
     order = np.lexsort((low, token))
-    token, node, low, high = token[order], node[order], low[order], high[order]
+    token, node, low, high, fresh = token[order], node[order], low[order], high[order], fresh[order]
     if not len(token):
-        return token, node, low, high, node, node
+        return token, node, low, high, fresh, node, node, node, low
     first = np.ones(len(token), bool)
     first[1:] = token[1:] != token[:-1]
     # the greatest length so far within a token: a running maximum that starts anew with each token
@@ -102,8 +117,16 @@ def _chains(token: np.ndarray, node: np.ndarray, low: np.ndarray, high: np.ndarr
     least = np.minimum.reduceat(low, heads)
     most = np.maximum.reduceat(high, heads)
     other = node != head_node[chain]
+    several = np.logical_or.reduceat(other, heads)
     edges = np.unique(np.stack([node[other], head_node[chain][other]], axis=1), axis=0)
-    return token[heads], head_node, least, most, edges[:, 0], edges[:, 1]
+    shared = fresh & several[chain]
+    return token[heads], head_node, least, most, several, edges[:, 0], edges[:, 1], node[shared], low[shared]
+
+
+def _tally(node: np.ndarray, size: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Node, size and summed count of each node."""
+    names, first, place = np.unique(node, return_index=True, return_inverse=True)
+    return names, size[first], np.bincount(place, weights=count, minlength=len(names)).astype(np.int64)
 
 
 def _prefixes(order: object, buckets: int):
@@ -122,7 +145,7 @@ def _prefixes(order: object, buckets: int):
                 if node in seen:
                     continue
                 seen.add(node)
-                p = prefix_length(len(own))
+                p = long_prefix(len(own))
                 r = rank[_top(own, BUCKETS)]
                 if p < len(own):
                     key = np.lexsort((own, r))[:p]
@@ -133,49 +156,52 @@ def _prefixes(order: object, buckets: int):
         if not tokens:
             return
         size = np.concatenate(sizes)
-        token, node, low, high, left, right = _chains(np.concatenate(tokens), np.concatenate(nodes), size, size)
+        token, node, low, high, several, left, right, counted, counted_size = _chains(np.concatenate(tokens), np.concatenate(nodes), size, size, np.ones(len(size), bool))
+        counted, counted_size, count = _tally(counted, counted_size, np.ones(len(counted)))
         bucket = (token % np.uint64(buckets)).astype(np.int64)
         short = (token // np.uint64(buckets)).astype(np.uint32)  # equal shingles stay equal; unequal ones that meet only make a block larger
-        by = np.argsort(bucket, kind="stable")
-        ends = np.searchsorted(bucket[by], np.arange(buckets + 1))
-        e_bucket = left % buckets
-        e_by = np.argsort(e_bucket, kind="stable")
-        e_ends = np.searchsorted(e_bucket[e_by], np.arange(buckets + 1))
+        parted = []
+        for key in (bucket, left % buckets, counted % buckets):
+            by = np.argsort(key, kind="stable")
+            parted.append((by, np.searchsorted(key[by], np.arange(buckets + 1))))
         for k in range(buckets):
-            i, j = by[ends[k] : ends[k + 1]], e_by[e_ends[k] : e_ends[k + 1]]
-            if len(i) or len(j):
+            i, j, c = (by[ends[k] : ends[k + 1]] for by, ends in parted)
+            if len(i) or len(j) or len(c):
                 names, first, place = np.unique(node[i], return_index=True, return_inverse=True)
                 wide = np.flatnonzero(high[i] != low[i])  # a chain begins with its shortest set, so only its greatest length is more
-                parts = (short[i], place.astype(np.uint32), names, low[i][first].astype(np.uint32), wide.astype(np.uint32), high[i][wide].astype(np.uint32), left[j], right[j])
+                parts = (short[i], place.astype(np.uint32), names, low[i][first].astype(np.uint32), wide.astype(np.uint32), high[i][wide].astype(np.uint32), np.flatnonzero(several[i]).astype(np.uint32))
+                parts += (left[j], right[j], counted[c], counted_size[c].astype(np.uint32), count[c].astype(np.uint32))
                 yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in parts)], names=["bucket", *_PACKED])
 
     return run
 
 
-_PACKED = {"token": np.uint32, "place": np.uint32, "node": np.int64, "size": np.uint32, "wide": np.uint32, "high": np.uint32, "a": np.int64, "b": np.int64}
+_PACKED = {"token": np.uint32, "place": np.uint32, "node": np.int64, "size": np.uint32, "wide": np.uint32, "high": np.uint32, "several": np.uint32, "a": np.int64, "b": np.int64, "counted": np.int64, "counted_size": np.uint32, "count": np.uint32}
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All tasks' chains of some buckets: edges between nodes, one for each node and bucket group at most."""
-    columns: dict[str, list[np.ndarray]] = {c: [] for c in ("token", "node", "low", "high", "a", "b")}
+    """All tasks' chains of some buckets: edges between nodes, and of each node its size and how many of its tokens are in a chain of two nodes."""
+    columns: dict[str, list[np.ndarray]] = {c: [] for c in ("token", "node", "low", "high", "fresh", "a", "b", "counted", "counted_size", "count")}
     for batch in batches:
         for row in zip(batch.column("bucket").to_pylist(), *(batch.column(c).to_pylist() for c in _PACKED), strict=True):
-            token, place, names, size, wide, far, a, b = (np.frombuffer(x, kind) for x, kind in zip(row[1:], _PACKED.values(), strict=True))
+            token, place, names, size, wide, far, several, a, b, *counts = (np.frombuffer(x, kind) for x, kind in zip(row[1:], _PACKED.values(), strict=True))
             high = size[place].copy()
             high[wide] = far
+            fresh = np.ones(len(token), bool)  # not counted by the task that sent it
+            fresh[several] = False
             # a task may hold several buckets: the bucket keeps their shortened shingles apart
-            parts = (np.uint64(row[0]) << np.uint64(32) | token.astype(np.uint64), names[place], size[place], high, a, b)
+            parts = (np.uint64(row[0]) << np.uint64(32) | token.astype(np.uint64), names[place], size[place], high, fresh, a, b, *counts)
             for column, part in zip(columns.values(), parts, strict=True):
                 column.append(part)
     if not columns["token"]:
         return
-    token, node, low, high, left, right = (np.concatenate(c) for c in columns.values())
+    token, node, low, high, fresh, left, right, counted, counted_size, count = (np.concatenate(c) for c in columns.values())
     single = np.ones(len(token), bool)
     order = np.argsort(token, kind="stable")
     same = token[order][1:] == token[order][:-1]
     single[order[1:][same]] = False
     single[order[:-1][same]] = False
-    _, _, _, _, more_left, more_right = _chains(token[~single], node[~single], low[~single].astype(np.int64), high[~single].astype(np.int64))
+    *_, more_left, more_right, more, more_size = _chains(token[~single], node[~single], low[~single].astype(np.int64), high[~single].astype(np.int64), fresh[~single])
     a, b = np.concatenate([left, more_left]), np.concatenate([right, more_right])
     names, index = np.unique(np.concatenate([a, b]), return_inverse=True)
     sets = Union(len(names))
@@ -183,7 +209,18 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets.join(i, j)
     roots = np.array([sets.find(i) for i in range(len(names))], np.int64)
     out = roots != np.arange(len(names))
-    yield pa.RecordBatch.from_arrays([pa.array(names[out]), pa.array(names[roots[out]])], names=["a", "b"])
+    yield pa.RecordBatch.from_arrays([pa.array(names[out], pa.int64()), pa.array(names[roots[out]], pa.int64()), pa.nulls(out.sum(), pa.int64()), pa.nulls(out.sum(), pa.int64())], names=["a", "b", "n", "shared"])
+    nodes, sizes, shared = _tally(np.concatenate([counted, more]), np.concatenate([counted_size.astype(np.int64), more_size]), np.concatenate([count.astype(np.float64), np.ones(len(more))]))
+    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.nulls(len(nodes), pa.int64()), pa.array(sizes, pa.int64()), pa.array(shared, pa.int64())], names=["a", "b", "n", "shared"])
+
+
+def _blocks(met: DataFrame) -> DataFrame:
+    """node, root: the sets that share enough, in blocks of two or more."""
+    least = F.floor(F.floor((F.max("n") * PERCENT + 99) / 100) / 10) + 1  # the overlap that the smallest partner asks for
+    able = met.where("shared is not null").groupBy(F.col("a").alias("node")).agg(F.sum("shared").alias("shared"), least.alias("least")).where("shared >= least").select("node")
+    held = common.stage(components(met.where("b is not null").select("a", "b")).join(able, "node"), "held")
+    several = held.groupBy("root").count().where("count > 1").select("root")
+    return common.stage(held.join(several, "root").select("node", "root"), "blocks")
 
 
 def _documents(members: object):
@@ -347,8 +384,8 @@ def link_documents(spark: SparkSession, documents: DataFrame) -> DataFrame:
     order = spark.sparkContext.broadcast(np.minimum(counts, 65535).astype(np.uint16))  # 8 MB whatever the input
     buckets = max(4, n // 4)  # fewer buckets join more of a block at once, so fewer edges remain
     packed = text.mapInArrow(_prefixes(order, buckets), "bucket int, " + ", ".join(f"{c} binary" for c in _PACKED))
-    edges = packed.repartition(buckets, "bucket").mapInArrow(_meet, "a long, b long")
-    blocks = common.stage(components(edges), "blocks")
+    met = common.stage(packed.repartition(buckets, "bucket").mapInArrow(_meet, "a long, b long, n long, shared long"), "met")
+    blocks = _blocks(met)
     bits = spark.sparkContext.broadcast(np.packbits(vectors.summed(blocks.select("node"), _member_bits, BLOOM, presence=True) > 0))
     docs = common.stage(rows.mapInArrow(_documents(_Bits(bits)), "doc_id long, node long, n long, shingles binary"), "sets")
     sets = docs.where("shingles is not null")

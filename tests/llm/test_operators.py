@@ -226,9 +226,11 @@ def near_copies(seed):
     return [(i, t, "en", "s", 0) for i, t in enumerate(rows)]
 
 
-@pytest.mark.parametrize("weight", [1_500_000, 300])
-def test_jaccard_components_against_all_pairs(spark, odd, monkeypatch, weight):
+@pytest.mark.parametrize(("weight", "buckets"), [(1_500_000, 1 << 22), (300, 1 << 22), (1_500_000, 4), (300, 64)])
+def test_jaccard_components_against_all_pairs(spark, odd, monkeypatch, weight, buckets):
+    """With few buckets the order of shingles is coarse, as it is on very much text; the links stay the same."""
     monkeypatch.setattr(jaccard, "WEIGHT", weight)
+    monkeypatch.setattr(jaccard, "BUCKETS", buckets)
     docs = spark.createDataFrame(near_copies(weight), DOC).unionByName(odd.select("doc_id", "text", "lang", "source", "n_chars").withColumn("doc_id", F.col("doc_id") + 1000)).repartition(6)
     got = collections.Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard.link_documents(spark, docs).collect())
     assert got == brute_components(rows_of(docs))
