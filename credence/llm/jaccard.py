@@ -145,18 +145,20 @@ def _prefixes(order: object, buckets: int):
                 if node in seen:
                     continue
                 seen.add(node)
+                nodes.append(node)
+                sizes.append(len(own))
                 p = long_prefix(len(own))
-                r = rank[_top(own, BUCKETS)]
                 if p < len(own):
-                    key = np.lexsort((own, r))[:p]
-                    own = own[key]
+                    own = own[np.lexsort((own, rank[_top(own, BUCKETS)]))[:p]]
                 tokens.append(own)
-                nodes.append(np.full(len(own), node, np.int64))
-                sizes.append(np.full(len(own), len(r), np.int64))
         if not tokens:
             return
-        size = np.concatenate(sizes)
-        token, node, low, high, several, left, right, counted, counted_size = _chains(np.concatenate(tokens), np.concatenate(nodes), size, size, np.ones(len(size), bool))
+        lengths = [len(own) for own in tokens]
+        token = np.concatenate(tokens)
+        tokens.clear()
+        size = np.repeat(np.array(sizes, np.int64), lengths)
+        token, node, low, high, several, left, right, counted, counted_size = _chains(token, np.repeat(np.array(nodes, np.int64), lengths), size, size, np.ones(len(size), bool))
+        del size
         counted, counted_size, count = _tally(counted, counted_size, np.ones(len(counted)))
         bucket = (token % np.uint64(buckets)).astype(np.int64)
         short = (token // np.uint64(buckets)).astype(np.uint32)  # equal shingles stay equal; unequal ones that meet only make a block larger
@@ -180,37 +182,56 @@ _PACKED = {"token": np.uint32, "place": np.uint32, "node": np.int64, "size": np.
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All tasks' chains of some buckets: edges between nodes, and of each node its size and how many of its tokens are in a chain of two nodes."""
-    columns: dict[str, list[np.ndarray]] = {c: [] for c in ("token", "node", "low", "high", "fresh", "a", "b", "counted", "counted_size", "count")}
+    """Rows sorted by bucket: of each bucket, edges between nodes, and each node's size and how many of its tokens are in a chain of two nodes."""
+    bucket, rows = None, []
     for batch in batches:
-        for row in zip(batch.column("bucket").to_pylist(), *(batch.column(c).to_pylist() for c in _PACKED), strict=True):
-            token, place, names, size, wide, far, several, a, b, *counts = (np.frombuffer(x, kind) for x, kind in zip(row[1:], _PACKED.values(), strict=True))
-            high = size[place].copy()
-            high[wide] = far
-            fresh = np.ones(len(token), bool)  # not counted by the task that sent it
-            fresh[several] = False
-            # a task may hold several buckets: the bucket keeps their shortened shingles apart
-            parts = (np.uint64(row[0]) << np.uint64(32) | token.astype(np.uint64), names[place], size[place], high, fresh, a, b, *counts)
-            for column, part in zip(columns.values(), parts, strict=True):
-                column.append(part)
-    if not columns["token"]:
-        return
-    token, node, low, high, fresh, left, right, counted, counted_size, count = (np.concatenate(c) for c in columns.values())
-    single = np.ones(len(token), bool)
+        for row in zip(batch.column("bucket").to_pylist(), *(batch.column(c) for c in _PACKED), strict=True):
+            if row[0] != bucket and rows:
+                yield from _meet_bucket(rows)
+                rows = []
+            bucket = row[0]
+            rows.append({c: np.frombuffer(x.as_buffer(), kind) for (c, kind), x in zip(_PACKED.items(), row[1:], strict=True)})
+    if rows:
+        yield from _meet_bucket(rows)
+
+
+def _meet_bucket(rows: list[dict[str, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    """Tokens that only one task sent are left out before anything else is built."""
+    token = np.concatenate([r["token"] for r in rows])
     order = np.argsort(token, kind="stable")
     same = token[order][1:] == token[order][:-1]
-    single[order[1:][same]] = False
-    single[order[:-1][same]] = False
-    *_, more_left, more_right, more, more_size = _chains(token[~single], node[~single], low[~single].astype(np.int64), high[~single].astype(np.int64), fresh[~single])
-    a, b = np.concatenate([left, more_left]), np.concatenate([right, more_right])
+    meets = np.zeros(len(token), bool)
+    meets[order[1:][same]] = True
+    meets[order[:-1][same]] = True
+    del order, same
+    token = token[meets]
+    node, low, high, fresh, at = [], [], [], [], 0
+    for r in rows:
+        n = len(r["token"])
+        keep = np.flatnonzero(meets[at : at + n])
+        at += n
+        place = r["place"][keep]
+        node.append(r["node"][place])
+        low.append(r["size"][place].astype(np.int64))
+        most = r["size"][r["place"]]
+        most[r["wide"]] = r["high"]
+        high.append(most[keep].astype(np.int64))
+        unseen = np.ones(n, bool)  # not counted by the task that sent it
+        unseen[r["several"]] = False
+        fresh.append(unseen[keep])
+    *_, more_left, more_right, more, more_size = _chains(token, np.concatenate(node), np.concatenate(low), np.concatenate(high), np.concatenate(fresh))
+    a = np.concatenate([*(r["a"] for r in rows), more_left])
+    b = np.concatenate([*(r["b"] for r in rows), more_right])
     names, index = np.unique(np.concatenate([a, b]), return_inverse=True)
     sets = Union(len(names))
     for i, j in zip(index[: len(a)].tolist(), index[len(a) :].tolist(), strict=True):
         sets.join(i, j)
     roots = np.array([sets.find(i) for i in range(len(names))], np.int64)
     out = roots != np.arange(len(names))
-    yield pa.RecordBatch.from_arrays([pa.array(names[out], pa.int64()), pa.array(names[roots[out]], pa.int64()), pa.nulls(out.sum(), pa.int64()), pa.nulls(out.sum(), pa.int64())], names=["a", "b", "n", "shared"])
-    nodes, sizes, shared = _tally(np.concatenate([counted, more]), np.concatenate([counted_size.astype(np.int64), more_size]), np.concatenate([count.astype(np.float64), np.ones(len(more))]))
+    none = pa.nulls(int(out.sum()), pa.int64())
+    yield pa.RecordBatch.from_arrays([pa.array(names[out], pa.int64()), pa.array(names[roots[out]], pa.int64()), none, none], names=["a", "b", "n", "shared"])
+    every = [np.concatenate([*(r[c] for r in rows), x]) for c, x in (("counted", more), ("counted_size", more_size), ("count", np.ones(len(more))))]
+    nodes, sizes, shared = _tally(*every)
     yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.nulls(len(nodes), pa.int64()), pa.array(sizes, pa.int64()), pa.array(shared, pa.int64())], names=["a", "b", "n", "shared"])
 
 
@@ -384,7 +405,7 @@ def link_documents(spark: SparkSession, documents: DataFrame) -> DataFrame:
     order = spark.sparkContext.broadcast(np.minimum(counts, 65535).astype(np.uint16))  # 8 MB whatever the input
     buckets = max(4, n // 4)  # fewer buckets join more of a block at once, so fewer edges remain
     packed = text.mapInArrow(_prefixes(order, buckets), "bucket int, " + ", ".join(f"{c} binary" for c in _PACKED))
-    met = common.stage(packed.repartition(buckets, "bucket").mapInArrow(_meet, "a long, b long, n long, shared long"), "met")
+    met = common.stage(packed.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_meet, "a long, b long, n long, shared long"), "met")
     blocks = _blocks(met)
     bits = spark.sparkContext.broadcast(np.packbits(vectors.summed(blocks.select("node"), _member_bits, BLOOM, presence=True) > 0))
     docs = common.stage(rows.mapInArrow(_documents(_Bits(bits)), "doc_id long, node long, n long, shingles binary"), "sets")
