@@ -16,6 +16,7 @@ any other. Repeated rows get equal scores. An empty table gives no rows. Other c
 
 from __future__ import annotations
 
+import hashlib
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -153,9 +154,10 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> np.ndarray:
 
 def _telling(sets: list[np.ndarray], good: np.ndarray) -> np.ndarray:
     """Word features of at least ``SEEN`` documents whose rate differs between the classes by ``Z`` standard errors."""
-    none = np.zeros(0, np.int32)
-    in_good = np.bincount(np.concatenate([none, *(s for s, g in zip(sets, good, strict=True) if g)]), minlength=DIMS)
-    in_bad = np.bincount(np.concatenate([none, *(s for s, g in zip(sets, good, strict=True) if not g)]), minlength=DIMS)
+    counts = np.zeros((2, DIMS), np.int64)
+    for own, g in zip(sets, good, strict=True):
+        counts[int(g), own] += 1  # a set holds each feature once
+    in_bad, in_good = counts
     n_good, n_bad = max(1, good.sum()), max(1, (~good).sum())
     pooled = (in_good + in_bad) / (n_good + n_bad)
     error = np.sqrt(np.maximum(pooled * (1 - pooled), 1e-12) * (1 / n_good + 1 / n_bad))
@@ -255,12 +257,17 @@ def train(spark: SparkSession, documents: DataFrame, labels: DataFrame, seed: in
     views = _views(documents)
     others = min(1.0, UNLABELLED / max(1, documents.count()))
     mixed = views.join(chosen, "doc_id", "left").where(F.col("good").isNotNull() | (hashed(seed + 1, "doc_id") < round(others * 1_000_000)))
-    got = mixed.mapInArrow(_examples, "doc_id long, good boolean, words binary, meta binary").collect()
-    rows = sorted(((r["doc_id"] is None, r["doc_id"] or 0, r["good"], bytes(r["words"]), bytes(r["meta"])) for r in got), key=lambda r: (r[0], r[1], r[3], r[4]))
-    read = lambda r: (np.frombuffer(r[3], np.int32), np.frombuffer(r[4], np.uint16).astype(np.int32))
-    once = {(r[2], r[3]): r for r in reversed(rows)}.values()  # copies of a document would outweigh the others
-    rows = sorted(once, key=lambda r: (r[0], r[1], r[3], r[4]))
-    return co_train([(r[2], *read(r)) for r in rows if r[2] is not None], [read(r) for r in rows if r[2] is None])
+    got = mixed.mapInArrow(_examples, "doc_id long, good boolean, words binary, meta binary").toArrow()
+    # the driver holds the sample once, as Arrow buffers
+    rows = []
+    for doc, good, own, meta in zip(*(got.column(c) for c in ("doc_id", "good", "words", "meta")), strict=True):
+        own, meta, doc = own.as_buffer(), meta.as_buffer(), doc.as_py()
+        named = hashlib.sha256(own).digest()
+        rows.append(((doc is None, doc or 0, named, bytes(meta)), good.as_py(), named, np.frombuffer(own, np.int32), np.frombuffer(meta, np.uint16).astype(np.int32)))
+    rows.sort(key=lambda r: r[0])
+    once = {(good, named): (key, good, own, meta) for key, good, named, own, meta in reversed(rows)}  # copies of a document would outweigh the others
+    rows = sorted(once.values(), key=lambda r: r[0])
+    return co_train([r[1:] for r in rows if r[1] is not None], [r[2:] for r in rows if r[1] is None])
 
 
 def score(spark: SparkSession, documents: DataFrame, labels: DataFrame) -> DataFrame:
