@@ -13,6 +13,31 @@ import string
 import numpy as np
 
 CACHE = 1_000_000
+LINE = 500
+
+# The public byte-level alphabet shows bytes 127 to 160 and 173 by the characters from 289 on.
+_SHOWN = np.arange(256, dtype="<u4")
+_SHOWN[127:161] += 162
+_SHOWN[173] = 323
+
+
+def _bytes_as_letters(text: str) -> str:
+    """Lower-cased, and each byte of UTF-8 as its letter in the byte-level alphabet (of words and blanks only)."""
+    text = text.lower()
+    return text if text.isascii() else _SHOWN[np.frombuffer(text.encode(), np.uint8)].tobytes().decode("utf-32-le")
+
+
+class _Parts(dict):
+    """ids by part; notes the parts that it misses."""
+
+    missed: list[str]
+
+    def __init__(self) -> None:
+        super().__init__({"": b""})
+        self.missed = []
+
+    def __missing__(self, part: str) -> None:
+        self.missed.append(part)
 
 
 class WordEncoder:
@@ -26,18 +51,35 @@ class WordEncoder:
         words = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(words.values()) + 1, bool)
         self.ends[[i for w, i in words.items() if w.endswith("</w>")]] = True
-        self.parts: dict[str, bytes] = {"": b""}
+        self.bare = self._bare()
+        self.parts = _Parts()
         self.stems: dict[str, bytes] = {}
         self.tails: dict[str, bytes] = {"": b""}
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _learn_stems(self, new: list[str]) -> None:
-        """One call for all: a word of letters alone is one pre-token, whose last id ends a word."""
+    def _bare(self):
+        """The same model behind blanks alone, for words that need no normalizer; none if it differs on the vocabulary's own words."""
+        from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import WhitespaceSplit
+
+        bare = Tokenizer(self.tokenizer.model)
+        bare.pre_tokenizer = WhitespaceSplit()
+        known = sorted({w for w in (x.removesuffix("</w>") for x in self.tokenizer.get_vocab()) if w.isascii() and w.isalpha()})[:: 1 + len(self.ends) // 2000]
+        tried = " ".join([*known, *(chr(c) + "x" + chr(c) for c in range(0xC0, 0x100) if chr(c).isalpha())])
+        same = bare.encode(_bytes_as_letters(tried), add_special_tokens=False).ids == self.tokenizer.encode(tried, add_special_tokens=False).ids
+        return bare if same else None
+
+    def _learn_stems(self, new: list[str], latin: bool) -> None:
+        """A word of letters alone is one pre-token, whose last id ends a word."""
         if not new:
             return
-        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(new)], add_special_tokens=False)[0].ids, "<u4")
+        plain = latin and self.bare is not None  # Latin-1: as in _cut
+        lines = [" ".join(new[i : i + LINE]) for i in range(0, len(new), LINE)]
+        encode = self.bare.encode_batch_fast if plain else self.tokenizer.encode_batch_fast
+        found = encode([_bytes_as_letters(x) for x in lines] if plain else lines, add_special_tokens=False)
+        ids = np.concatenate([np.array(x.ids, "<u4") for x in found])
         last = np.flatnonzero(self.ends[ids]) + 1
         if len(last) != len(new):  # a vocabulary of another shape: one by one
             self.stems.update((w, self._whole(w)) for w in new)
@@ -48,28 +90,30 @@ class WordEncoder:
             at = to
 
     def _learn(self, new: set[str]) -> None:
-        if len(self.parts) > CACHE:
-            self.parts = {"": b""}
         if len(self.stems) > CACHE:
             self.stems = {}
-        split, rest = {}, []
+        stems, tails, parts = self.stems, self.tails, self.parts
+        fresh, split, rest = {False: set(), True: set()}, [], []
         for part in new:
             stem = part.rstrip(string.punctuation)
             if stem.isalpha() and len(stem) < 200:
-                split[part] = stem, part[len(stem) :]
+                split.append((part, stem))
+                if stem not in stems:
+                    fresh[stem.isascii() or max(stem) <= "\xff"].add(stem)
             else:
                 rest.append(part)
         for part, found in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
-            self.parts[part] = np.array(found.ids, "<u4").tobytes()
-        self._learn_stems([s for s in {s for s, _ in split.values()} if s not in self.stems])
-        stems, tails = self.stems, self.tails
-        for part, (stem, tail) in split.items():
+            parts[part] = np.array(found.ids, "<u4").tobytes()
+        for latin, some in fresh.items():
+            self._learn_stems(list(some), latin)
+        for part, stem in split:
+            tail = part[len(stem) :]
             if tail not in tails:  # a run of punctuation is one pre-token
                 if len(tails) > CACHE:
                     tails.clear()
                     tails[""] = b""
                 tails[tail] = self._whole(tail)
-            self.parts[part] = stems[stem] + tails[tail]
+            parts[part] = stems[stem] + tails[tail]
 
     @staticmethod
     def _cut(text: str) -> list[str]:
@@ -82,15 +126,25 @@ class WordEncoder:
 
     def encode(self, batch: list[str]) -> list[bytes]:
         cut = [self._cut(x) for x in batch]
-        found = [list(map(self.parts.get, parts)) for parts in cut]
-        holes = [i for i, ids in enumerate(found) if None in ids]
-        if holes:
-            new = {p for i in holes for p, ids in zip(cut[i], found[i], strict=True) if ids is None}
+        parts, out, holes = self.parts, [], []
+        parts.missed, missed, look = [], 0, parts.__getitem__
+        for text in cut:
+            found = list(map(look, text))
+            if len(parts.missed) > missed:
+                holes.append((len(out), text, found))
+                missed = len(parts.missed)
+                out.append(b"")
+            else:
+                out.append(b"".join(found))
+        new, parts.missed = set(parts.missed), []
+        if len(parts) + len(new) > CACHE:
+            self.parts = _Parts()
+        if new:
             self._learn(new)
-            look = self.parts
-            for i in holes:
-                found[i] = [look[p] if ids is None else ids for p, ids in zip(cut[i], found[i], strict=True)]
-        return [b"".join(ids) for ids in found]
+        look = self.parts.__getitem__
+        for i, text, found in holes:
+            out[i] = b"".join([look(p) if ids is None else ids for p, ids in zip(text, found, strict=True)])
+        return out
 
 
 _encoders: dict[str, WordEncoder] = {}
