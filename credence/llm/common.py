@@ -8,9 +8,12 @@ machine-local folder and ``localCheckpoint`` is never used.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,6 +56,15 @@ def drop(staged: DataFrame) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def give_back() -> None:
+    """Return the driver's freed memory to the system, where the C library can; else it stays with Python for the whole session."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def texts(df: DataFrame, *keep: str) -> DataFrame:
     """Only the columns an operator needs; a null text reads as the empty text."""
     return df.select(*keep, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))

@@ -152,7 +152,7 @@ def _sketch(spark: SparkSession, rows: DataFrame, right: np.ndarray) -> np.ndarr
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["part"])
 
     total = np.zeros_like(right)
-    for r in rows.mapInArrow(run, "part binary").collect():  # a bounded matrix for each of a few partitions
+    for r in rows.mapInArrow(run, "part binary").toLocalIterator():  # a bounded matrix for each of a few partitions, one at a time
         total += np.frombuffer(r["part"], np.float64).reshape(right.shape)
     return total
 
@@ -247,7 +247,9 @@ def _search_block(spark: SparkSession, rows: DataFrame, items: Items) -> DataFra
         matrix[c, k] = w
     gain = (idf[:, None] * (basis @ (basis.T @ matrix))).astype(np.float32)  # what a word adds to each latent product
     item_of = np.array([i for i, _, _ in passages])
+    del matrix, basis
     shared = spark.sparkContext.broadcast((items, idf, float(np.median(idf[idf > 0])) if idf.any() else 1.0, gain, item_of))
+    common.give_back()
     return columns.mapInArrow(_search(shared), LEAK)
 
 

@@ -250,6 +250,12 @@ def _views(documents: DataFrame) -> DataFrame:
 
 def train(spark: SparkSession, documents: DataFrame, labels: DataFrame, seed: int = 3) -> Model:
     """Fit on a bounded sample of the labelled documents and of others."""
+    model = _fitted(documents, labels, seed)
+    common.give_back()
+    return model
+
+
+def _fitted(documents: DataFrame, labels: DataFrame, seed: int) -> Model:
     known = labels.where("doc_id is not null and quality is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.min(((F.col("quality") == 1) & (F.col("toxic") == 0)).cast("int")) == 1).alias("good"))
     share = min(1.0, LABELLED / max(1, known.count()))
     hashed = lambda salt, column: F.pmod(F.xxhash64(F.lit(salt), column), F.lit(1_000_000))
@@ -266,6 +272,7 @@ def train(spark: SparkSession, documents: DataFrame, labels: DataFrame, seed: in
         rows.append(((doc is None, doc or 0, named, bytes(meta)), good.as_py(), named, np.frombuffer(own, np.int32), np.frombuffer(meta, np.uint16).astype(np.int32)))
     rows.sort(key=lambda r: r[0])
     once = {(good, named): (key, good, own, meta) for key, good, named, own, meta in reversed(rows)}  # copies of a document would outweigh the others
+    del got, mixed
     rows = sorted(once.values(), key=lambda r: r[0])
     return co_train([r[1:] for r in rows if r[1] is not None], [r[2:] for r in rows if r[1] is None])
 
