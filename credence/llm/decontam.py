@@ -5,7 +5,9 @@ are counted over all passages of all documents (runs of ``WINDOW`` words, one ev
 TF-IDF matrix whose ``RANK`` leading right singular vectors come from a distributed randomised SVD: partitions multiply their
 rows with a random sketch, the products are summed, twice with an orthonormal step between. The subspace is that of the
 benchmark, since only what lies in it adds to a product with a benchmark passage. Each document passage is projected; the cosine
-with its full TF-IDF length gives candidates. Words in more than ``STOP`` of all passages (and ``STOP_LEAST`` at least) weigh nothing. A candidate is checked on the words around it: the longest common subsequence with the
+with its full TF-IDF length gives candidates. Words in more than ``STOP`` of all passages (and ``STOP_LEAST`` at least) weigh nothing there,
+so a second, exact way gives every other pair that could pass the check, whatever its words weigh: of an item of L words of which m must match, all but
+L - m + k rarest may be missing only if k of these are near the passage (``_near``). A candidate is checked on the words around it: the longest common subsequence with the
 whole item (bit-parallel), within a stretch of bounded length. ``VERBATIM`` of the item's words in order is a leak; from
 ``PARAPHRASE`` on it is one if the item's answer (its last sentence) is found there in order, too.
 
@@ -13,7 +15,7 @@ The benchmark is searched in blocks of ``ITEMS`` items, so what is broadcast is
 every passage of every document. Documents are never dropped, cut or sampled.
 
 Defined cases: a null or empty text has no passages. Items without words leak nowhere; an item with fewer words than a window is one
-passage. Repeated documents or items are reported each. Equal leaks in one document give the first place. Empty tables give no rows. Other columns are ignored.
+passage. Repeated documents or items are reported each. The cosine of a leak found by the second way may be below ``COSINE``, and is 0 where all its words weigh nothing. Equal leaks in one document give the first place. Empty tables give no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,6 +35,7 @@ WINDOW, STRIDE = 48, 24
 ITEMS, RANK, OVERSAMPLE = 256, 256, 16
 COSINE, VERBATIM, PARAPHRASE, ANSWER = 0.3, 0.8, 0.55, 0.6
 STOP, STOP_LEAST = 0.01, 50
+RUN = 8
 LEAK = "doc_id long, item_id long, start_word long, matched long, item_words long, cosine double, verbatim boolean"
 
 
@@ -169,26 +172,93 @@ def _basis(spark: SparkSession, passages: list, width: int, seed: int = 11) -> n
     return sketch @ vectors_[:, np.argsort(-values)[:rank]]
 
 
-def common_subsequence(a: np.ndarray, b: np.ndarray) -> int:
-    """Length of the longest common subsequence, bit-parallel over ``a``."""
+def _places(a: np.ndarray) -> dict[int, int]:
+    """For each word, the bits of its places in ``a``."""
     places: dict[int, int] = {}
     for i, x in enumerate(a.tolist()):
         places[x] = places.get(x, 0) | 1 << i
-    full = (1 << len(a)) - 1
+    return places
+
+
+def _matched(n: int, places: dict[int, int], b: np.ndarray) -> int:
+    full = (1 << n) - 1
     row = full
     for x in b.tolist():
         match = places.get(x, 0)
         if match:
             hit = row & match
             row = ((row + hit) | (row - hit)) & full
-    return len(a) - row.bit_count()
+    return n - row.bit_count()
+
+
+def common_subsequence(a: np.ndarray, b: np.ndarray) -> int:
+    """Length of the longest common subsequence, bit-parallel over ``a``."""
+    return _matched(len(a), _places(a), b)
+
+
+@dataclass
+class Rare:
+    """The rarest words of each item: ``items`` has those of word c from ``first[c]`` to ``first[c + 1]``. ``needed`` of them, and ``least`` of all words, are in any leak."""
+
+    first: np.ndarray
+    items: np.ndarray
+    needed: np.ndarray
+    least: np.ndarray
+    sizes: np.ndarray
+
+
+def _rare(items: Items, counted: np.ndarray) -> Rare:
+    sizes = np.array([len(c) for c in items.columns])
+    least = np.array([next(m for m in range(n + 1) if m / n >= PARAPHRASE) for n in sizes])  # the check's own comparison
+    needed = np.maximum(1, least // 2)
+    words_, owners = [], []
+    for i, c in enumerate(items.columns):
+        own = np.unique(c[np.argsort(counted[c], kind="stable")[: sizes[i] - least[i] + needed[i]]])
+        words_.append(own)
+        owners.append(np.full(len(own), i))
+    word, owner = np.concatenate(words_), np.concatenate(owners)
+    order = np.argsort(word, kind="stable")
+    return Rare(np.searchsorted(word[order], np.arange(len(items.vocabulary) + 1)), owner[order], needed, least, sizes)
+
+
+def _near(rare: Rare, flat: np.ndarray, base: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Every (passage, item) whose words around the passage can hold as many of the item's as a leak must; sorted by document, item and passage.
+
+    A match pairs each matched word of the item with a word of the text of its own. At most as many of an item's words as are
+    not among its rarest are matched outside these, so ``needed`` words of the text are among the rarest.
+    """
+    known = np.flatnonzero(flat >= 0)
+    n = rare.first[flat[known] + 1] - rare.first[flat[known]]
+    at = np.repeat(known, n)
+    item = rare.items[np.repeat(rare.first[flat[known]] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+    owner = np.searchsorted(base, at, side="right") - 1
+    order = np.argsort(owner * len(rare.sizes) + item, kind="stable")
+    at, item, owner = at[order], item[order], owner[order]
+    from_ = np.arange(len(at))
+    to = from_ + rare.needed[item] - 1
+    inside = to < len(at)
+    from_, to = from_[inside], to[inside]
+    same = (item[from_] == item[to]) & (owner[from_] == owner[to]) & (at[to] - at[from_] < WINDOW + 2 * rare.sizes[item[from_]])
+    from_, to = from_[same], to[same]
+    item, owner, size = item[from_], owner[from_], rare.sizes[item[from_]]
+    # passages around which both the first and the last of these words lie
+    lo = np.searchsorted(start, np.maximum(at[to] - WINDOW - size + 1, base[owner]))
+    hi = np.searchsorted(start, np.minimum(at[from_] + size, base[owner + 1] - 1), side="right")
+    # ranges of one document and item ascend: each begins where the one before it has ended
+    new = np.ones(len(lo), bool)
+    new[1:] = (item[1:] != item[:-1]) | (owner[1:] != owner[:-1])
+    if len(lo):
+        lo = np.maximum(lo, np.where(new, 0, np.concatenate([[0], hi[:-1]])))
+    n = np.maximum(hi - lo, 0)
+    return np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum()), np.repeat(item, n)
 
 
 def _search(shared: object):
     """Candidates by cosine, then the check of each (document, item) on the words around its passages."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items, idf, other, gain, item_of = shared.value
+        items, idf, other, gain, item_of, rare = shared.value
+        places, answers = [_places(c) for c in items.columns], [_places(a) for a in items.answers]
         square = np.append(idf * idf, other * other)  # the last: words outside the benchmark
         most = np.append(np.maximum(gain.max(axis=1), 0).astype(np.float64), 0.0)
         rows: list[tuple] = []
@@ -208,25 +278,42 @@ def _search(shared: object):
                 every = flat[live[np.repeat(first - begin, count) + np.arange(count.sum())]]
                 scores = np.add.reduceat(gain[every], begin, axis=0) / length[chosen][:, None]
                 for p, q in zip(*np.nonzero(scores >= COSINE), strict=True):
-                    rows.append((owner[chosen[p]], item_of[q], start[chosen[p]], float(scores[p, q])))
-            if not rows:
-                continue
+                    rows.append((int(chosen[p]), int(item_of[q]), float(scores[p, q])))
             base = np.concatenate([[0], np.cumsum([len(x) for x in part])])
+            passages, found = _near(rare, flat, base, start)
+            # pairs in runs of neighbours; what isn't in the words around a run isn't around any passage of it
+            apart = (np.diff(passages) != 1) | (np.diff(found) != 0) | (np.diff(owner[passages]) != 0)
+            run_no = np.cumsum(np.concatenate([[0], apart])) if len(passages) else passages
+            run_no = run_no * (len(passages) + 1) + (np.arange(len(passages)) - np.searchsorted(run_no, run_no)) // RUN
+            edges = np.flatnonzero(np.concatenate([[True], run_no[1:] != run_no[:-1], [True]])) if len(passages) else np.zeros(1, np.int64)
+            close: set[tuple[int, int]] = set()
+            for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                i, o = int(found[a]), int(owner[passages[a]])
+                n = len(items.columns[i])
+                around = part[o][max(0, start[passages[a]] - base[o] - n) : start[passages[b - 1]] - base[o] + WINDOW + n]
+                if _matched(n, places[i], around) >= rare.least[i]:
+                    close.update((p, i) for p in passages[a:b].tolist())
+            pairs = {k: 0.0 for k in sorted(close)}
+            for p, i, score in rows:
+                pairs[p, i] = max(pairs.get((p, i), 0.0), score)
+            rows = []
             best: dict[tuple[int, int], tuple] = {}
-            for o, i, s, score in rows:
-                text, item = part[o], items.columns[i]
-                lo = max(0, s - base[o] - len(item))
-                near = text[lo : s - base[o] + WINDOW + len(item)]
-                matched = common_subsequence(item, near)
+            for (p, i), score in sorted(pairs.items()):
+                o, n = int(owner[p]), len(items.columns[i])
+                lo = int(max(0, start[p] - base[o] - n))
+                near = part[o][lo : start[p] - base[o] + WINDOW + n]
+                matched = _matched(n, places[i], near)
+                if matched < rare.least[i]:
+                    continue
+                verbatim = matched / n >= VERBATIM
+                if not verbatim and _matched(len(items.answers[i]), answers[i], near) < ANSWER * len(items.answers[i]):
+                    continue
+                if not score:
+                    inside = flat[start[p] : end[p]]
+                    score = float(np.max(gain[inside[inside >= 0]][:, item_of == i].sum(axis=0), initial=0.0) / length[p])
                 if (o, i) not in best or (matched, score) > best[o, i][:2]:
-                    best[o, i] = (matched, score, lo, near)
-            rows = []
-            out = []
-            for (o, i), (matched, score, lo, near) in best.items():
-                share = matched / len(items.columns[i])
-                answer = items.answers[i]
-                if share >= VERBATIM or (share >= PARAPHRASE and common_subsequence(answer, near) >= ANSWER * len(answer)):
-                    out.append((docs[o], items.ids[i], int(lo), matched, len(items.columns[i]), score, share >= VERBATIM))
+                    best[o, i] = (matched, score, lo, n, verbatim)
+            out = [(docs[o], items.ids[i], lo, matched, n, score, verbatim) for (o, i), (matched, score, lo, n, verbatim) in best.items()]
             if out:
                 kinds = [pa.int64()] * 5 + [pa.float64(), pa.bool_()]
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], names=["doc_id", "item_id", "start_word", "matched", "item_words", "cosine", "verbatim"])
@@ -248,7 +335,7 @@ def _search_block(spark: SparkSession, rows: DataFrame, items: Items) -> DataFra
     gain = (idf[:, None] * (basis @ (basis.T @ matrix))).astype(np.float32)  # what a word adds to each latent product
     item_of = np.array([i for i, _, _ in passages])
     del matrix, basis
-    shared = spark.sparkContext.broadcast((items, idf, float(np.median(idf[idf > 0])) if idf.any() else 1.0, gain, item_of))
+    shared = spark.sparkContext.broadcast((items, idf, float(np.median(idf[idf > 0])) if idf.any() else 1.0, gain, item_of, _rare(items, counted)))
     common.give_back()
     return columns.mapInArrow(_search(shared), LEAK)
 

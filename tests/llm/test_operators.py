@@ -161,6 +161,20 @@ def test_leaks_found_verbatim_and_paraphrased(spark, odd, none, small):
     assert decontam.remove(spark, odd, items).count() == len(ODD)
 
 
+def _spoken(rng, n, of=5000):
+    return [f"w{x}" for x in (of * rng.random(n) ** 2).astype(int)]
+
+
+def test_leak_in_a_third_of_the_rows_is_found(spark):
+    """The item's words are so frequent that they weigh nothing in the latent search."""
+    rng = np.random.default_rng(5)
+    item = " ".join(f"hot{i}" for i in range(20))
+    docs = [(i, " ".join(_spoken(rng, 90) + ([item] if i % 3 == 0 else []) + _spoken(rng, 90))) for i in range(300)]
+    items = spark.createDataFrame([(7, item), (8, " ".join(_spoken(rng, 30)))], "item_id long, text string")
+    got = [(r["doc_id"], r["item_id"], r["matched"], r["verbatim"]) for r in decontam.leaks(spark, spark.createDataFrame(docs, "doc_id long, text string"), items).collect()]
+    assert sorted(got) == [(i, 7, 20, True) for i in range(0, 300, 3)]
+
+
 # --- 5
 
 
