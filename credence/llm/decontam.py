@@ -11,8 +11,9 @@ L - m + k rarest may be missing only if k of these are near the passage (``_near
 whole item (bit-parallel), within a stretch of bounded length. ``VERBATIM`` of the item's words in order is a leak; from
 ``PARAPHRASE`` on it is one if the item's answer (its last sentence) is found there in order, too.
 
-The benchmark is searched in blocks of ``ITEMS`` items, so what is broadcast is bounded whatever its size; each block sees
-every passage of every document. Documents are never dropped, cut or sampled.
+The benchmark is read in blocks of ``ITEMS`` items and searched in parts of at most ``RANK`` passages (an item with more is a part by
+itself), so what is broadcast doesn't grow with the number of items; each part sees every passage of every document. Each ``RANK`` passages have
+a basis of their own, so that it spans all of them, however long the items are. Documents are never dropped, cut or sampled.
 
 Defined cases: a null or empty text has no passages. Items without words leak nowhere; an item with fewer words than a window is one
 passage. Repeated documents or items are reported each. The cosine of a leak found by the second way may be below ``COSINE``, and is 0 where all its words weigh nothing. Equal leaks in one document give the first place. Empty tables give no rows. Other columns are ignored.
@@ -321,21 +322,42 @@ def _search(shared: object):
     return run
 
 
-def _search_block(spark: SparkSession, rows: DataFrame, items: Items) -> DataFrame:
+def _search_block(spark: SparkSession, rows: DataFrame, items: Items) -> list[DataFrame]:
     width = len(items.vocabulary)
     columns = common.stage(rows.mapInArrow(_to_columns(items.vocabulary), "doc_id long, columns binary"), "columns")
     counted = vectors.summed(columns, _frequencies(width), width + 1)
     n = max(1, int(counted[width]))
     idf = np.where(counted[:width] > max(STOP * n, STOP_LEAST), 0.0, np.log((n + 1) / (counted[:width] + 1)))
+    other = float(np.median(idf[idf > 0])) if idf.any() else 1.0
+    return [_search_part(spark, columns, part, idf, other, counted) for part in _parts(items)]
+
+
+def _parts(items: Items) -> list[Items]:
+    """The items in order, in parts of at most ``RANK`` passages; an item with more is a part by itself."""
+    bounds, size = [0], 0
+    for i, columns in enumerate(items.columns):
+        n = len(_starts(len(columns)))
+        if size and size + n > RANK:
+            bounds.append(i)
+            size = 0
+        size += n
+    return [Items(items.vocabulary, items.ids[a:b], items.columns[a:b], items.answers[a:b]) for a, b in zip(bounds, [*bounds[1:], len(items.ids)], strict=True)]
+
+
+def _search_part(spark: SparkSession, columns: DataFrame, items: Items, idf: np.ndarray, other: float, counted: np.ndarray) -> DataFrame:
+    width = len(items.vocabulary)
     passages = _tfidf(items, idf)
-    basis = _basis(spark, passages, width)
-    matrix = np.zeros((width, len(passages)))
-    for k, (_, c, w) in enumerate(passages):
-        matrix[c, k] = w
-    gain = (idf[:, None] * (basis @ (basis.T @ matrix))).astype(np.float32)  # what a word adds to each latent product
+    gain = np.empty((width, len(passages)), np.float32)  # what a word adds to each latent product
+    for at in range(0, len(passages), RANK):
+        some = passages[at : at + RANK]
+        basis = _basis(spark, some, width)
+        matrix = np.zeros((width, len(some)))
+        for k, (_, c, w) in enumerate(some):
+            matrix[c, k] = w
+        gain[:, at : at + RANK] = idf[:, None] * (basis @ (basis.T @ matrix))
+        del matrix, basis
     item_of = np.array([i for i, _, _ in passages])
-    del matrix, basis
-    shared = spark.sparkContext.broadcast((items, idf, float(np.median(idf[idf > 0])) if idf.any() else 1.0, gain, item_of, _rare(items, counted)))
+    shared = spark.sparkContext.broadcast((items, idf, other, gain, item_of, _rare(items, counted)))
     common.give_back()
     return columns.mapInArrow(_search(shared), LEAK)
 
@@ -351,7 +373,8 @@ def leaks(spark: SparkSession, documents: DataFrame, benchmark: DataFrame) -> Da
     for k in range(blocks):
         block = read_items(sorted(placed.where(F.col("block") == k).collect(), key=lambda r: (r["item_id"] is None, r["item_id"])))  # about ITEMS rows
         if len(block.vocabulary):
-            found = found.unionByName(_search_block(spark, rows, block))
+            for part in _search_block(spark, rows, block):
+                found = found.unionByName(part)
     return found
 
 

@@ -175,6 +175,19 @@ def test_leak_in_a_third_of_the_rows_is_found(spark):
     assert sorted(got) == [(i, 7, 20, True) for i in range(0, 300, 3)]
 
 
+def test_leaks_of_more_passages_than_the_rank(spark, monkeypatch):
+    """Copies of long items keep their whole cosine: each part's basis spans all its passages."""
+    monkeypatch.setattr(decontam, "RANK", 16)
+    rng = np.random.default_rng(6)
+    text = {i: " ".join(f"v{x}" for x in rng.permutation(4000)[: 200 if i else 700]) for i in range(12)}
+    items = spark.createDataFrame(list(text.items()), "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r["cosine"] for r in decontam.leaks(spark, spark.createDataFrame([(100 + i, t) for i, t in text.items()], "doc_id long, text string"), items).collect()}
+    assert set(got) == {(100 + i, i) for i in text} and min(got.values()) > 0.9
+    block = decontam.read_items(items.collect())
+    parts = decontam._parts(block)
+    assert [x for p in parts for x in p.ids] == block.ids and all(len(p.ids) == 1 or sum(len(decontam._starts(len(c))) for c in p.columns) <= 16 for p in parts)
+
+
 # --- 5
 
 
