@@ -188,6 +188,34 @@ def test_leaks_of_more_passages_than_the_rank(spark, monkeypatch):
     assert [x for p in parts for x in p.ids] == block.ids and all(len(p.ids) == 1 or sum(len(decontam._starts(len(c))) for c in p.columns) <= 16 for p in parts)
 
 
+def test_leaks_against_the_check_on_every_passage(spark):
+    """Recall 1 against the check by itself: short, cut, spread and paraphrased items, the shortest too weak for any cosine."""
+    rng = np.random.default_rng(8)
+    text = {i: _spoken(rng, n, 800) + ["so."] + _spoken(rng, 1 + n // 4, 800) for i, n in enumerate([2, 2, 3, 5, 8, 12, 20, 30, 45, 60, 90, 150])}
+    docs = []
+    for d in range(240):
+        w = text[d % len(text)]
+        kept = [x for x in w if rng.random() < (1, 0.9, 0.8, 0.7, 0.6)[d // 12 % 5]]
+        spread = [y for x in kept for y in ([x, *_spoken(rng, 1, 800)] if rng.random() < (0, 0.3)[d % 2] else [x])]
+        docs.append((d, " ".join(_spoken(rng, int(rng.integers(0, 150)), 800) + spread + _spoken(rng, int(rng.integers(0, 150)), 800))))
+    bare = lambda t: [x.strip(".") for x in t]
+    want = {}
+    for d, t in docs:
+        t = bare(t.split())
+        for i, w in text.items():
+            item, answer = bare(w), bare(w[[x.endswith(".") for x in w].index(True) + 1 :])
+            code = {x: k for k, x in enumerate({*t, *item})}
+            as_ints = lambda x: np.array([code[y] for y in x], np.int64)  # noqa: E731, B023
+            for s in decontam._starts(len(t)):
+                near = as_ints(t[max(0, s - len(item)) : s + decontam.WINDOW + len(item)])
+                m = decontam.common_subsequence(as_ints(item), near)
+                if m >= 0.8 * len(item) - 1e-9 or (m >= 0.55 * len(item) - 1e-9 and decontam.common_subsequence(as_ints(answer), near) >= 0.6 * len(answer) - 1e-9):
+                    want[d, i] = max(m, want.get((d, i), 0))
+    items = spark.createDataFrame([(i, " ".join(w)) for i, w in text.items()], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r["matched"] for r in decontam.leaks(spark, spark.createDataFrame(docs, "doc_id long, text string"), items).collect()}
+    assert got == want and len(want) > 120
+
+
 # --- 5
 
 
