@@ -4,7 +4,9 @@ Each document's ids (a public vocabulary, then one end id) are cut into chunks w
 rolling hash over the last ids says so, between a least and a greatest length. A chunk is
 named by the SHA-256 of its bytes and stored once. A recipe lists a document's chunks; the
 recipes are in ascending document order, range-partitioned. Each document has a Merkle root over
-its chunk names, each recipe part a root over its documents, and the manifest one over the parts.
+its chunk names, each recipe part a root over its documents, and the manifest one over the parts. Reading computes all of them again
+from the recipes and chunks read back; a missing, added or swapped chunk, recipe row, document or part is an error, as is a root that differs.
+Roots cover chunk names and the order of documents, not the documents' ids.
 
 Defined cases: a null text is the empty text, whose only id is the end id. Documents with the same
 ``doc_id`` are kept apart, in the order of the input's rows. A null ``doc_id`` comes first. An empty
@@ -23,7 +25,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from credence.llm import bpe, common, words
@@ -198,13 +200,55 @@ def _part_roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """crc32 and root of each document; a chunk that is missing, repeated or of another length than its recipe's is an error."""
     for batch in batches:
-        crcs = []
-        for row in batch.column("list").to_pylist():
-            if any(c["n"] != c["chunk_n"] for c in row):
+        crcs, roots = [], []
+        lists = batch.column("list")
+        at, flat = 0, lists.flatten()
+        seq, n, digest, crc, chunk_n = (flat.field(c).to_pylist() for c in ("seq", "n", "digest", "chunk_crc", "chunk_n"))
+        for size in lists.value_lengths().to_pylist():
+            to = at + size
+            if seq[at:to] != list(range(size)):
+                raise ValueError("a recipe's chunks are not numbered one by one")
+            if None in crc[at:to]:
+                raise ValueError(f"chunk {digest[at + crc[at:to].index(None)].hex()} is missing")
+            if n[at:to] != chunk_n[at:to]:
                 raise ValueError("a chunk's length is not its recipe's")
-            crcs.append(joined_crc([(c["chunk_crc"], 4 * c["n"]) for c in row]))
-        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("part", "doc_id", "rid", "ids")), pa.array(crcs, pa.int64())], names=["part", "doc_id", "rid", "n_tokens", "ids_crc32"])
+            crcs.append(joined_crc([(c, 4 * k) for c, k in zip(crc[at:to], n[at:to], strict=True)]))
+            roots.append(merkle(digest[at:to]))
+            at = to
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("part", "doc_id", "rid", "ids")), pa.array(crcs, pa.int64()), pa.array(roots, pa.binary())], names=["part", "doc_id", "rid", "n_tokens", "ids_crc32", "root"])
+
+
+def _placed(manifest: dict[int, tuple[int, int, int, bytes]]):
+    """Rows sorted by part and document, with one row without a root for each part of the manifest: starts, and each part against its entry.
+
+    ``manifest``: ids before the part, documents, ids, root.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, leaves, ids = None, [], 0
+
+        def check() -> None:
+            if part is not None and (part not in manifest or manifest[part][1:] != (len(leaves), ids, merkle(leaves))):
+                raise ValueError(f"part {part} is not what the manifest's root says")
+
+        for batch in batches:
+            starts, keep = [], []
+            for p, n, root in zip(*(batch.column(c).to_pylist() for c in ("part", "n_tokens", "root")), strict=True):
+                if p != part:
+                    check()
+                    part, leaves, ids = p, [], 0
+                keep.append(root is not None)
+                starts.append(manifest[p][0] + ids if p in manifest else None)
+                if root is not None:
+                    leaves.append(root)
+                    ids += n
+            out = pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(starts, pa.int64()), *(batch.column(c) for c in ("n_tokens", "ids_crc32", "part"))], names=["doc_id", "start", "n_tokens", "ids_crc32", "part"])
+            yield out.filter(pa.array(keep, pa.bool_()))
+        check()
+
+    return run
 
 
 def write_store(spark: SparkSession, documents: DataFrame, vocabulary: str | None = None, end_id: int = END_ID) -> IdStore:
@@ -227,16 +271,17 @@ def write_store(spark: SparkSession, documents: DataFrame, vocabulary: str | Non
 
 
 def read_store(store: IdStore) -> DataFrame:
-    """Every document back from the files: doc_id, start, n_tokens, ids_crc32, part."""
+    """Every document back from the files: doc_id, start, n_tokens, ids_crc32, part. Reading all of it fails unless every root is the stored one."""
     spark = store.chunks.sparkSession
-    checked = store.chunks.select("digest", "payload").mapInArrow(_verify, "digest binary, chunk_crc long, chunk_n long")
-    listed = store.recipes.join(checked, "digest").groupBy("part", "doc_id", "rid").agg(F.sum("n").alias("ids"), F.sort_array(F.collect_list(F.struct("seq", "n", "chunk_crc", "chunk_n"))).alias("list"))
-    back = listed.mapInArrow(_joined, "part int, doc_id long, rid long, n_tokens long, ids_crc32 long")
-    before, offsets = 0, []
-    for r in store.manifest.select("part", "ids").orderBy("part").collect():  # one row a part
-        offsets.append((r["part"], before))
+    before, manifest = 0, {}
+    for r in store.manifest.select("part", "documents", "ids", "root").orderBy("part").collect():  # one row a part
+        manifest[r["part"]] = (before, r["documents"], r["ids"], bytes(r["root"]))
         before += r["ids"]
-    table = F.broadcast(spark.createDataFrame(offsets, "part int, before long"))
-    order = Window.partitionBy("part").orderBy("doc_id", "rid").rowsBetween(Window.unboundedPreceding, -1)
-    placed = back.withColumn("inside", F.coalesce(F.sum("n_tokens").over(order), F.lit(0))).join(table, "part")
-    return placed.select("doc_id", (F.col("before") + F.col("inside")).cast("long").alias("start"), "n_tokens", "ids_crc32", "part")
+    if merkle([root for *_, root in manifest.values()]).hex() != store.root:
+        raise ValueError("the manifest is not what the store's root says")
+    checked = store.chunks.select("digest", "payload").mapInArrow(_verify, "digest binary, chunk_crc long, chunk_n long")
+    listed = store.recipes.join(checked, "digest", "left").groupBy("part", "doc_id", "rid").agg(F.sum("n").alias("ids"), F.sort_array(F.collect_list(F.struct("seq", "n", "digest", "chunk_crc", "chunk_n"))).alias("list"))
+    kinds = "part int, doc_id long, rid long, n_tokens long, ids_crc32 long, root binary"
+    marks_ = spark.createDataFrame([(p, None, -1, 0, None, None) for p in manifest], kinds)  # so that a part without any row is missed
+    back = listed.mapInArrow(_joined, kinds).unionByName(marks_).repartition(common.tasks(spark), "part").sortWithinPartitions("part", "doc_id", "rid")
+    return back.mapInArrow(_placed(manifest), "doc_id long, start long, n_tokens long, ids_crc32 long, part int")

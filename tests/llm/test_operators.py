@@ -407,6 +407,31 @@ def test_store_round_trip(spark, odd, none, small):
     assert idstore.read_store(idstore.write_store(spark, none)).count() == 0
 
 
+def test_store_reading_checks_every_root(spark):
+    rng = np.random.default_rng(9)
+    docs = spark.createDataFrame([(i, " ".join(_spoken(rng, 900))) for i in range(40)], "doc_id long, text string")
+    store = idstore.write_store(spark, docs)
+    assert idstore.read_store(store).count() == 40
+    chunks, recipes, manifest, root = store.chunks, store.recipes, store.manifest, store.root
+    one = recipes.where("doc_id = 7 and seq = 1").first()["digest"]
+    last = recipes.where("doc_id = 7").agg(F.max("seq")).first()[0]
+    part = recipes.first()["part"]
+    in_7 = F.col("doc_id") == 7
+    damaged = {
+        "is missing": (chunks.where(F.col("digest") != F.lit(one)), recipes),
+        "part .* is not what": (chunks, recipes.withColumn("seq", F.when(in_7 & (F.col("seq") < 2), 1 - F.col("seq")).otherwise(F.col("seq")))),
+        "not what the manifest": (chunks, recipes.where(~(in_7 & (F.col("seq") == last)))),
+        "the manifest's root says": (chunks, recipes.where(F.col("doc_id") != 7)),
+        "manifest's root": (chunks, recipes.where(F.col("part") != part)),
+        "numbered": (chunks, recipes.where(~(in_7 & (F.col("seq") == 0)))),
+    }
+    for says, (c, r) in damaged.items():
+        with pytest.raises(Exception, match=says):
+            idstore.read_store(idstore.IdStore(c, r, manifest, root)).collect()
+    with pytest.raises(ValueError, match="store's root"):
+        idstore.read_store(idstore.IdStore(chunks, recipes, manifest.withColumn("root", F.sha2("root", 256).cast("binary")), root))
+
+
 def test_joined_crc_and_cuts():
     rng = np.random.default_rng(6)
     ids = rng.integers(0, 49408, 20000).astype("<u4")
