@@ -11,7 +11,7 @@ Texts are read once. What is counted are patterns (votes and shape), of which th
 driver's part is bounded whatever the corpus. Labelers are assumed independent given the truth, as usual for this model.
 
 Defined cases: a null text is the empty text and has no spans. Positions are code points, ends exclusive. Repeated rows give equal results.
-A candidate that overlaps a base span is dropped; of overlapping candidates the one that starts first stays, the longer one on ties.
+A candidate that overlaps a base span is dropped; all others are judged, and of overlapping accepted ones the one that starts first stays, the longer one on ties.
 Without candidates nothing is trained. An empty table gives no rows. Columns besides ``doc_id`` and ``text`` are ignored.
 """
 
@@ -38,6 +38,7 @@ BASE = {
 #: What the method may add, in the order in which it is listed after the base kinds.
 MORE = ("account", "contact", "credential")
 _DIGIT = re.compile(r"[0-9]")
+_SIGN = re.compile(r"[=:]")
 _CANDIDATES = (
     ("credential", re.compile(r"(?<![A-Za-z0-9])[A-Z0-9]{16,64}(?![A-Za-z0-9])")),
     ("credential", re.compile(r"(?<![A-Za-z0-9])[A-Za-z_]{3,24} ?[=:] ?\"?[A-Za-z0-9_/+.-]{8,128}\"?")),
@@ -113,24 +114,34 @@ def _shape(kind: str, found: str) -> int:
     return (MORE.index(kind) * 4 + min(3, len(found) // 16)) * 4 + 2 * ("=" in found or ":" in found) + (" " in found)
 
 
+def _matches(text: str) -> Iterator[tuple[int, int, str]]:
+    """(start, end, kind) of all candidate patterns; a field's value may begin with a field of its own."""
+    number = _DIGIT.search(text)
+    for kind, pattern in _CANDIDATES:
+        if (kind == "account" and not number) or (kind == "contact" and not number and "(at)" not in text and "[at]" not in text):
+            continue
+        m = pattern.search(text)
+        while m:
+            yield m.start(), m.end(), kind
+            sign = _SIGN.search(m[0]) if kind == "credential" else None
+            m = pattern.search(text, m.start() + sign.end() if sign else m.end())
+
+
 def candidates(text: str, taken: list[tuple[str, int, int]]) -> list[tuple[str, int, int, int]]:
-    """(kind, start, end, pattern) of spans outside the base ones; the pattern packs votes and shape."""
-    if not _DIGIT.search(text) and "[" not in text and "(at" not in text:
-        return []
-    found = sorted(((m.start(), -m.end(), kind) for kind, p in _CANDIDATES for m in p.finditer(text)))
+    """(kind, start, end, pattern) of spans outside the base ones, by start, longer ones first; the pattern packs votes and shape."""
+    found = sorted({(start, -end, kind) for start, end, kind in _matches(text)})
     busy = sorted((s, e) for _, s, e in taken)
-    out, reach, i = [], 0, 0
+    out, i = [], 0
     for start, end, kind in found:
         end = -end
         while i < len(busy) and busy[i][1] <= start:
             i += 1
-        if start < reach or any(s < end for s, _ in busy[i : i + 1]):
+        if any(s < end for s, _ in busy[i : i + 1]):
             continue
         code = 0
         for v in _votes(kind, text, start, end):
             code = 3 * code + v
         out.append((kind, start, end, code * SHAPES + _shape(kind, text[start:end])))
-        reach = end
     return out
 
 
@@ -221,6 +232,9 @@ def find(spark: SparkSession, documents: DataFrame) -> DataFrame:
     found, accepted = _judged(spark, documents)
     none = F.array().cast("array<struct<kind:string,s:long,e:long,pattern:long>>")
     good = F.filter("candidates", lambda c: F.array_contains(F.lit(accepted), c["pattern"])) if accepted else none
+    start = F.struct(F.lit(0).cast("long").alias("reach"), none.alias("kept"))
+    add = lambda a, c: F.struct(c["e"].alias("reach"), F.concat(a["kept"], F.array(c)).alias("kept"))
+    good = F.aggregate(good, start, lambda a, c: F.when(c["s"] >= a["reach"], add(a, c)).otherwise(a), lambda a: a["kept"])
     listed = F.concat(*[F.transform(F.filter(good, lambda c: c["kind"] == F.lit(kind)), lambda c: F.concat_ws(":", c["kind"], c["s"].cast("string"), c["e"].cast("string"))) for kind in MORE])
     spans = F.concat_ws(",", F.when(F.col("base") != "", F.col("base")), F.when(F.size(listed) > 0, F.concat_ws(",", listed)))
     return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", spans.alias("spans"))
@@ -229,7 +243,12 @@ def find(spark: SparkSession, documents: DataFrame) -> DataFrame:
 def masked(text: str, accepted: frozenset[int]) -> str:
     """The text with each span replaced by its kind in angle brackets."""
     base = base_spans(text)
-    spans = sorted([(s, e, k) for k, s, e in base] + [(s, e, k) for k, s, e, p in candidates(text, base) if p in accepted])
+    chosen, reach = [], 0
+    for k, s, e, p in candidates(text, base):
+        if p in accepted and s >= reach:
+            chosen.append((s, e, k))
+            reach = e
+    spans = sorted([(s, e, k) for k, s, e in base] + chosen)
     out, at = [], 0
     for s, e, kind in spans:
         if s < at:  # overlapping base spans: the rest of the later one goes with the earlier

@@ -83,6 +83,26 @@ def test_pii_estimation_trusts_agreeing_labelers():
     assert soft[0] > 0.9 and soft[2] > 0.9 and soft[1] < 0.1 and rates[1, 0, 2] > rates[0, 0, 2]
 
 
+def test_pii_rejected_candidates_hide_none(spark):
+    text = "ssn: 123-45-6789 and abc: password: hunterhunter"
+    found = {(k, text[s:e]): p for k, s, e, p in pii.candidates(text, [])}
+    assert {("credential", "ssn: 123-45-6789"), ("account", "123-45-6789"), ("credential", "password: hunterhunter")} <= set(found)
+    assert pii.candidates("password: hunterhunter", [])
+    accepted = {found["account", "123-45-6789"], found["credential", "password: hunterhunter"]}
+    assert pii.masked(text, frozenset(accepted)) == "ssn: <account> and abc: <credential>"
+    assert pii.masked(text, frozenset(found.values())) == "<credential> and <credential>: hunterhunter"
+
+
+def test_pii_query_lists_what_is_masked(spark, monkeypatch):
+    texts = ["ssn: 123-45-6789 x", "password: hunterhunter", "phone: 555-123-4567"]
+    every = {p for t in texts for _, _, _, p in pii.candidates(t, [])}
+    outer = {p for t in texts for _, s, _, p in pii.candidates(t, []) if s == 0}
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for accepted, want in ((every, ["credential:0:16", "credential:0:22", "credential:0:19"]), (every - outer, ["account:5:16", "", "contact:7:19"])):
+        monkeypatch.setattr(pii, "accepted_patterns", lambda counted, a=accepted: sorted(a))
+        assert [r["spans"] for r in pii.find(spark, docs).orderBy("doc_id").collect()] == want
+
+
 # --- 2
 
 
