@@ -270,6 +270,14 @@ def _documents(members: object):
     return run
 
 
+def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """doc_id, text and the text's node (null without shingles)."""
+    for batch, raw, offs in words.groups(batches):
+        shingles, bounds = _shingles(raw, offs)
+        nodes = [_node(np.unique(shingles[a:b])) if a != b else None for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text"), pa.array(nodes, pa.int64())], names=["doc_id", "text", "node"])
+
+
 def _bloom(nodes: np.ndarray) -> np.ndarray:
     return _top(words.mix(nodes.astype(np.uint64)), BLOOM)
 
@@ -397,6 +405,11 @@ def _tiles(held: DataFrame) -> DataFrame:
 
 def link_documents(spark: SparkSession, documents: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id."""
+    return _linked(spark, documents).select("doc_id", "n_shingles", "component_id")
+
+
+def _linked(spark: SparkSession, documents: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id, node (null without shingles)."""
     common.short_batches(spark)
     n = common.tasks(spark)
     rows = common.texts(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "doc_id")
@@ -421,7 +434,7 @@ def link_documents(spark: SparkSession, documents: DataFrame) -> DataFrame:
     ids = classed.groupBy("class").agg(F.min("least").alias("component_id"))
     by_node = classed.join(ids, "class").select("node", "component_id")
     out = docs.select("doc_id", "node", F.col("n").alias("n_shingles")).join(by_node, "node", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "node")
 
 
 class _Bits:
@@ -443,9 +456,20 @@ def one_of_each(spark: SparkSession, documents: DataFrame) -> DataFrame:
 
     Of rows with the same id and the same text one stays; other rows with the same id are told apart by their text. Rows without an id stay.
     """
-    found = link_documents(spark, documents)
-    repeats = found.where("doc_id <> component_id").select(F.col("doc_id").alias("__repeat")).distinct()
-    kept = documents.join(repeats, F.col("doc_id").cast("long") == F.col("__repeat"), "left_anti")
-    if not found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count():
+    found = _linked(spark, documents)
+    per_id = found.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"), F.count(F.when(F.col("doc_id") != F.col("component_id"), 1)).alias("repeats"))
+    known = common.stage(per_id.where("rows > 1 or repeats > 0"), "repeats")
+    all_gone = known.where("repeats = rows").select(F.col("doc_id").alias("__repeat"))
+    kept = documents.join(all_gone, F.col("doc_id").cast("long") == F.col("__repeat"), "left_anti")
+    if not known.where("rows > 1").limit(1).count():
         return kept
+    mixed = known.where("repeats > 0 and repeats < rows").select("doc_id")
+    if mixed.limit(1).count():  # ids of which some rows are repeats: their rows are told apart by their sets
+        gone = found.join(mixed, "doc_id", "left_semi").where("doc_id <> component_id").select(F.col("doc_id").alias("__repeat"), F.col("node").alias("__node")).distinct()
+        names = kept.withColumn("__id", F.col("doc_id").cast("long"))
+        some = names.join(mixed.select(F.col("doc_id").alias("__id")), "__id", "left_semi")
+        texts = some.select("__id", F.col("text").alias("__text")).distinct()
+        node = common.texts(texts.select(F.col("__id").alias("doc_id"), F.col("__text").alias("text")), "doc_id").mapInArrow(_nodes, "doc_id long, text string, node long")
+        bad = node.join(gone, (F.col("doc_id") == F.col("__repeat")) & (F.col("node") == F.col("__node"))).select(F.col("doc_id").alias("__bad"), F.col("text").alias("__text"))
+        kept = kept.join(bad, (F.col("doc_id").cast("long") == F.col("__bad")) & (F.col("text").cast("string") == F.col("__text")), "left_anti")
     return kept.where("doc_id is null").unionByName(kept.where("doc_id is not null").dropDuplicates(["doc_id", "text"]))

@@ -318,6 +318,14 @@ def test_jaccard_keeps_one_of_each(spark, none):
     assert jaccard.link_documents(spark, none).count() == 0
 
 
+def test_jaccard_keeps_rows_whose_id_is_a_repeat_elsewhere(spark):
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(40)) for x in "abcd")
+    rows = [(1, a), (2, a), (2, b), (3, b), (4, c), (4, c), (5, d), (6, d), (2, None)]
+    docs = spark.createDataFrame([(i, t, None, None, 0) for i, t in rows], DOC)
+    kept = sorted((r["doc_id"], r["text"] or "") for r in jaccard.one_of_each(spark, docs).collect())
+    assert kept == sorted([(1, a), (2, b), (2, ""), (4, c), (5, d)])
+
+
 # --- 7
 
 
