@@ -561,7 +561,7 @@ def _robustness(spark, sf):
 
 @query("bootstrap_stats")
 def _bootstrap(spark, sf):
-    return robustness.bootstrap_statistics(robustness.bootstrap_draws(_j(spark, sf), ["first_touch", "linear"], robustness.BootstrapConfig(n_iterations=50)))
+    return robustness.bootstrap_statistics(robustness.bootstrap_draws(_j(spark, sf), ["first_touch", "linear"]))
 
 
 # --- adapters, on touches reshaped to their layouts
@@ -604,7 +604,7 @@ def _score(spark, sf):
     """The whole audit's checks, one row each."""
     from credence.audit import ReliabilityAudit
 
-    report = ReliabilityAudit(touch_stream(spark, sf)).run(simulations={"identity_loss": False, "touchpoint_loss": (0.1,)})
+    report = ReliabilityAudit(touch_stream(spark, sf)).run()
     return report.to_dataframe(spark).select("check", "status", "severity", "score")
 
 

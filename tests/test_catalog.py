@@ -35,3 +35,14 @@ def test_twin(spark, duck, name):
     columns = sorted(mine.columns)
     theirs = duck.execute(f"select {', '.join(chr(34) + c + chr(34) for c in columns)} from ({catalog.ORACLE_SQL[name]})").fetchall()
     assert plain(mine.select(*[f"`{c}`" for c in columns]).collect()) == plain(theirs)
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
+def test_reports_run_with_the_operators_defaults(spark, monkeypatch):
+    checks = [r["check"] for r in catalog.QUERIES["score_components"](spark, SF).collect()]
+    assert {"identity_loss", "touchpoint_loss"} <= set(checks) and len(checks) == len(set(checks))
+    seen = []
+    draws = catalog.robustness.bootstrap_draws
+    monkeypatch.setattr(catalog.robustness, "bootstrap_draws", lambda *a: seen.append(draws(*a)) or seen[-1])
+    catalog.QUERIES["bootstrap_stats"](spark, SF)
+    assert seen[0].select("iteration").distinct().count() == catalog.robustness.BootstrapConfig().n_iterations
