@@ -55,6 +55,8 @@ class WordEncoder:
         self.parts = _Parts()
         self.stems: dict[str, bytes] = {}
         self.tails: dict[str, bytes] = {"": b""}
+        self.letters = set(string.ascii_letters)
+        self.others: set[str] = set()
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -71,6 +73,19 @@ class WordEncoder:
         same = bare.encode(_bytes_as_letters(tried), add_special_tokens=False).ids == self.tokenizer.encode(tried, add_special_tokens=False).ids
         return bare if same else None
 
+    def _all_letters(self, stem: str) -> bool:
+        """Whether the tokenizer keeps punctuation after the stem apart: each character's normal form must be letters in its own eyes."""
+        for c in set(stem) - self.letters:
+            if c in self.others:
+                return False
+            form = self.tokenizer.normalizer.normalize_str(c) if self.tokenizer.normalizer is not None else c
+            pieces = [at for _, at in self.tokenizer.pre_tokenizer.pre_tokenize_str(form + "a.")]
+            if pieces != [(0, len(form) + 1), (len(form) + 1, len(form) + 2)]:
+                self.others.add(c)
+                return False
+            self.letters.add(c)
+        return True
+
     def _learn_stems(self, new: list[str], latin: bool) -> None:
         """A word of letters alone is one pre-token, whose last id ends a word."""
         if not new:
@@ -96,7 +111,7 @@ class WordEncoder:
         fresh, split, rest = {False: set(), True: set()}, [], []
         for part in new:
             stem = part.rstrip(string.punctuation)
-            if stem.isalpha() and len(stem) < 200:
+            if stem.isalpha() and len(stem) < 200 and self._all_letters(stem):
                 split.append((part, stem))
                 if stem not in stems:
                     fresh[stem.isascii() or max(stem) <= "\xff"].add(stem)
@@ -117,9 +132,9 @@ class WordEncoder:
 
     @staticmethod
     def _cut(text: str) -> list[str]:
-        try:  # within Latin-1, lower case and composed form are those of the normalizer
+        try:  # within Latin-1, lower case and composed form are those of the normalizer; special tokens are found in the text as it is
             text.encode("latin-1")
-            text = text.lower()
+            text = text if "<|" in text else text.lower()
         except UnicodeEncodeError:
             pass
         return text.replace("\n", " ").split(" ")

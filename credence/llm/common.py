@@ -12,6 +12,7 @@ import ctypes
 import gc
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -24,11 +25,13 @@ _own_root: str | None = None
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder all executors share; a temporary one only where none is named (tests)."""
+    """The folder all executors share; a temporary one only where none is named and all tasks run on this machine (tests)."""
     global _own_root
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if _own_root is None:
         _own_root = tempfile.mkdtemp(prefix="credence-shared-")
     return _own_root
@@ -65,6 +68,16 @@ def give_back() -> None:
         trim(0)
 
 
+def in_one_task(df: DataFrame, work: Callable[[list[pa.RecordBatch]], bytes]) -> bytes:
+    """``work`` over all rows of a table of bounded size, in one executor task; only its result reaches the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield pa.RecordBatch.from_arrays([pa.array([work([b for b in batches if b.num_rows])], pa.binary())], names=["result"])
+
+    found = df.repartition(1).mapInArrow(run, "result binary").collect()  # one row, or none without any input
+    return bytes(found[0]["result"]) if found else work([])
+
+
 def texts(df: DataFrame, *keep: str) -> DataFrame:
     """Only the columns an operator needs; a null text reads as the empty text."""
     return df.select(*keep, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))

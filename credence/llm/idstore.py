@@ -285,3 +285,37 @@ def read_store(store: IdStore) -> DataFrame:
     marks_ = spark.createDataFrame([(p, None, -1, 0, None, None) for p in manifest], kinds)  # so that a part without any row is missed
     back = listed.mapInArrow(_joined, kinds).unionByName(marks_).repartition(common.tasks(spark), "part").sortWithinPartitions("part", "doc_id", "rid")
     return back.mapInArrow(_placed(manifest), "doc_id long, start long, n_tokens long, ids_crc32 long, part int")
+
+
+def _rebuilt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each document's ids from its chunks in order; a missing, damaged, repeated or wrongly long chunk is an error."""
+    for batch in batches:
+        streams = []
+        for row in batch.column("list").to_pylist():
+            if [c["seq"] for c in row] != list(range(len(row))):
+                raise ValueError("a recipe's chunks are not numbered one by one")
+            pieces = []
+            for c in row:
+                if c["payload"] is None:
+                    raise ValueError(f"chunk {c['digest'].hex()} is missing")
+                if hashlib.sha256(c["payload"]).digest() != c["digest"]:
+                    raise ValueError(f"chunk {c['digest'].hex()} is damaged")
+                pieces.append(unpack(c["payload"]))
+                if len(pieces[-1]) != c["n"]:
+                    raise ValueError("a chunk's length is not its recipe's")
+            streams.append(np.concatenate(pieces).tobytes())
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("doc_id"), batch.column("rid"), pa.array([len(x) // 4 for x in streams], pa.int64()), pa.array(streams, pa.binary())],
+            names=["doc_id", "rid", "n_tokens", "ids"],
+        )
+
+
+def read_ids(store: IdStore) -> DataFrame:
+    """Every document's ids themselves (little-endian, 32 bits), rebuilt from its recipe: doc_id, rid (its input row), n_tokens, ids.
+
+    A chunk moves once for each place that holds it. ``read_store`` gives counts and checksums without that, and checks the Merkle roots.
+    """
+    common.short_batches(store.chunks.sparkSession)
+    placed = store.recipes.join(store.chunks.select("digest", "payload"), "digest", "left")
+    listed = placed.groupBy("part", "doc_id", "rid").agg(F.sort_array(F.collect_list(F.struct("seq", "n", "digest", "payload"))).alias("list"))
+    return listed.mapInArrow(_rebuilt, "doc_id long, rid long, n_tokens long, ids binary")

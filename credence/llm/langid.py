@@ -2,7 +2,7 @@
 
 The model has an embedding for each of ``BUCKETS`` hashed byte n-grams (2 to 4 bytes, white space one blank, A-Z lower) and a
 linear layer over the labels. A text is the mean of its n-grams' embeddings. Both layers are trained by stochastic
-gradient descent in numpy on a bounded sample of labelled rows (about ``TRAIN_ROWS``, chosen by a hash of the row's id, whole
+gradient descent in numpy, in one executor task, on a bounded sample of labelled rows (about ``TRAIN_ROWS``, chosen by a hash of the row's id, whole
 texts reduced to n-gram counts on the executors). Scores are calibrated by a temperature fitted on a part of the
 sample that training left out; a prediction below the calibrated threshold is marked ``rejected``.
 Prediction covers every whole text. For it, the two layers are multiplied once into one table of bounded size.
@@ -14,6 +14,7 @@ Repeated rows are predicted each. An empty table gives no rows. Other columns ar
 
 from __future__ import annotations
 
+import pickle
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -28,12 +29,17 @@ from credence.llm import common, words
 BUCKETS, WIDTH, ORDERS = 1 << 15, 16, (2, 3, 4)
 TRAIN_ROWS, EPOCHS, RATE, WRONG_RATE = 6000, 8, 0.5, 0.01
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = re.compile(r"[^\W\d_]")  # numbers such as a superscript two are among these, too
 _LOW = np.arange(256, dtype=np.uint8)
 _LOW[65:91] += 32
 _LOW[[9, 10, 11, 12, 13]] = 32
 
 
+def has_letter(text: str) -> bool:
+    """Whether any character is of a letter category."""
+    return any(m[0].isalpha() for m in _LETTER.finditer(text))
+
+
 @dataclass
 class Model:
     labels: list[str]
@@ -87,9 +93,14 @@ def fit(rows: DataFrame, seed: int = 7) -> Model | None:
     labelled = rows.where(F.col("label").isNotNull())
     share = min(1.0, TRAIN_ROWS / max(1, labelled.count()))
     chosen = labelled.where((F.pmod(F.xxhash64(F.lit(seed), "rid"), F.lit(1_000_000)) < F.lit(round(share * 1_000_000))) & F.col("text").rlike(r"\p{L}"))
-    got = chosen.select("label", "text").mapInArrow(_counts, "label string, grams binary, counts binary").collect()
-    examples = [(r["label"], np.frombuffer(r["grams"], "<u2").astype(np.int64), np.frombuffer(r["counts"], "<f4")) for r in got]
-    examples = sorted((e for e in examples if len(e[1])), key=lambda e: (e[0], len(e[1]), float(e[2].sum())))
+    counted = chosen.select("label", "text").mapInArrow(_counts, "label string, grams binary, counts binary")
+    return pickle.loads(common.in_one_task(counted, lambda batches: pickle.dumps(_learned(batches, seed))))
+
+
+def _learned(batches: list[pa.RecordBatch], seed: int) -> Model | None:
+    """Train both layers on the sample's n-gram counts and calibrate."""
+    found = sorted(r for b in batches for r in zip(*(b.column(c).to_pylist() for c in ("label", "grams", "counts")), strict=True) if r[1])
+    examples = [(label, np.frombuffer(grams, "<u2").astype(np.int64), np.frombuffer(counts, "<f4")) for label, grams, counts in found]
     if not examples:
         return None
     labels = sorted({e[0] for e in examples})
@@ -125,7 +136,7 @@ def fit(rows: DataFrame, seed: int = 7) -> Model | None:
     wrong = np.cumsum(~right[by]) / np.arange(1, len(by) + 1)
     fine = np.flatnonzero(wrong <= WRONG_RATE)
     threshold = float(top[by][fine[-1]]) if len(fine) else 1.0
-    return Model(labels, table.astype(np.float32), bias, temperature, min(threshold, 0.9))
+    return Model(labels, table.astype(np.float32), bias, temperature, threshold)
 
 
 def _predict(model: Model | None):
@@ -144,7 +155,7 @@ def _predict(model: Model | None):
                 p = _softmax((sums / np.maximum(counts, 1)[:, None] + model.bias) / model.temperature)
                 best = p.argmax(axis=1)
                 for i, text in enumerate(batch.column("text").to_pylist()):
-                    if _LETTER.search(text):
+                    if has_letter(text):
                         named[i], scores[i] = model.labels[best[i]], float(p[i, best[i]])
                         rejected[i] = scores[i] < model.threshold
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in batch.schema.names if c != "text"), pa.array(named), pa.array(scores, pa.float64()), pa.array(rejected)], names=[*(c for c in batch.schema.names if c != "text"), "lang_pred", "score", "rejected"])

@@ -2,10 +2,11 @@
 
 Two views of a document: its text content (presence of hashed words and word beginnings) and its page metadata (source, language, length and layout
 statistics in bins). A classifier is fitted on each from the labelled rows, then for some rounds each hands its most confident
-pseudo-labels on unlabelled documents to the other, in the proportion of the labels. Both are calibrated on labelled rows that
-training left out, and a logistic combination of the two calibrated views scores every whole document.
+pseudo-labels on unlabelled documents to the other, in the proportion of the labels: only of a class, and only from a score on, for which it
+was right on ``PRECISE`` of labelled rows that training left out. A hand-over that makes the combination's loss on those rows greater is taken back.
+The views are calibrated on other labelled rows, and a logistic combination fitted on yet others of the two calibrated views scores every whole document.
 
-Training is bounded: about ``LABELLED`` labelled and ``UNLABELLED`` other documents, chosen by a hash of the id. Word features must
+Training runs in one executor task and is bounded: about ``LABELLED`` labelled and ``UNLABELLED`` other documents, chosen by a hash of the id. Word features must
 differ between the classes by ``Z`` standard errors to be used, so the model stays small and long clean documents don't add up noise.
 Scoring covers every document. A document is good if ``quality`` is 1 and ``toxic`` 0.
 
@@ -17,6 +18,7 @@ any other. Repeated rows get equal scores. An empty table gives no rows. Other c
 from __future__ import annotations
 
 import hashlib
+import pickle
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -30,8 +32,12 @@ from credence.llm import common, words
 
 LABELLED, UNLABELLED = 12_000, 6_000
 DIMS, META = 1 << 20, 512
-STEM, SEEN, Z, ROUNDS, HANDED, SURE = 5, 10, 6.0, 4, 0.05, 3.5
+STEM, SEEN, Z, ROUNDS, HANDED = 5, 10, 6.0, 4, 0.05
+PARTS = (0.55, 0.2, 0.125, 0.125)  # of the labelled rows: training, choosing pseudo-labels, calibrating, combining
+PRECISE, PROVEN = 0.99, 20
 KEEP = 0.5
+Example = tuple[np.ndarray, np.ndarray]
+Labelled = tuple[bool, np.ndarray, np.ndarray]
 
 _CLASS = np.zeros(256, np.int64)
 _CLASS[97:123] = 1
@@ -164,65 +170,97 @@ def _telling(sets: list[np.ndarray], good: np.ndarray) -> np.ndarray:
     return np.flatnonzero((in_good + in_bad >= SEEN) & (np.abs(in_bad / n_bad - in_good / n_good) >= Z * error))
 
 
+def _both(text_logit: np.ndarray, meta_logit: np.ndarray) -> np.ndarray:
+    """What the combination sees: both calibrated views and the worse of them."""
+    return np.stack([text_logit, meta_logit, np.minimum(text_logit, meta_logit)], axis=1)
+
+
 @dataclass
 class Model:
     text: View | None
     meta: View | None
     mix: np.ndarray
     constant: float
+    handed: int = 0  # pseudo-labels that were exchanged and kept
 
     def score(self, text_logit: np.ndarray, meta_logit: np.ndarray) -> np.ndarray:
-        return _sigmoid(np.stack([text_logit, meta_logit, np.minimum(text_logit, meta_logit)], axis=1) @ self.mix[:-1] + self.mix[-1])
+        return _sigmoid(_both(text_logit, meta_logit) @ self.mix[:-1] + self.mix[-1])
+
+
+def _splits(good: np.ndarray, seed: int) -> list[np.ndarray]:
+    """Row numbers for training, for choosing pseudo-labels, for calibrating and for combining; a part that lacks a class is all rows."""
+    order = np.random.default_rng(seed).permutation(len(good))
+    ends = np.round(np.cumsum(PARTS) * len(good)).astype(int)
+    parts = [np.sort(x) for x in np.split(order, ends[:-1])]
+    return [x if len({*good[x].tolist()}) == 2 else np.arange(len(good)) for x in parts]
+
 
+def _loss(z: np.ndarray, y: np.ndarray) -> float:
+    return float(np.mean(np.logaddexp(0, np.where(y, -z, z)))) if len(y) else 0.0
 
-def co_train(labelled: list[tuple[bool, np.ndarray, np.ndarray]], unlabelled: list[tuple[np.ndarray, np.ndarray]], seed: int = 3) -> Model:
-    """From (good, words, metadata) and (words, metadata) examples."""
+
+def _sure(scores: np.ndarray, right: np.ndarray) -> float:
+    """The least score from which on ``right`` holds for a share of ``PRECISE`` of the chosen rows, of which there are ``PROVEN`` at least."""
+    order = np.argsort(-scores, kind="stable")
+    n = np.arange(1, len(order) + 1)
+    fine = np.flatnonzero((np.cumsum(right[order]) >= PRECISE * n) & (n >= PROVEN))
+    return float(scores[order[fine[-1]]]) if len(fine) else np.inf
+
+
+def co_train(labelled: list[Labelled], unlabelled: list[Example], seed: int = 3, rounds: int = ROUNDS) -> Model:
+    """From (good, words, metadata) and (words, metadata) examples; ``rounds`` 0 is the same without any exchange."""
     good = np.array([g for g, _, _ in labelled], bool)
     if len(good) < 10 or good.all() or not good.any():
         return Model(None, None, np.zeros(4), float(good.mean()) if len(good) else 1.0)
-    held = np.random.default_rng(seed).random(len(labelled)) < 0.25
-    if len({*good[held].tolist()}) < 2 or len({*good[~held].tolist()}) < 2:
-        held = np.arange(len(labelled)) % 4 == 0 if len({*good[::4].tolist()}) == 2 else np.ones(len(labelled), bool)
-    train = np.flatnonzero(~held) if not held.all() else np.arange(len(labelled))
-    start = [labelled[i] for i in train]
-    given = {"text": [(g, w, m) for g, w, m in start], "meta": [(g, w, m) for g, w, m in start]}
-    pool = list(range(len(unlabelled)))
-    rest = [labelled[i] for i in np.flatnonzero(held)]
-    text, meta = View(DIMS), View(META)
-    for step in range(ROUNDS + 1):
-        y = np.array([g for g, _, _ in given["text"]], bool)
-        sets = [w for _, w, _ in given["text"]]
-        text.fit(sets, y, _telling(sets, y))
-        meta.fit([m for _, _, m in given["meta"]], np.array([g for g, _, _ in given["meta"]], bool), None)
-        if step == ROUNDS or not pool:
-            break
-        text.calibrate([w for _, w, _ in rest], good[held])
-        meta.calibrate([m for _, _, m in rest], good[held])
-        by_text = text.logit([unlabelled[i][0] for i in pool])
-        by_meta = meta.logit([unlabelled[i][1] for i in pool])
-        n = max(2, int(HANDED * len(unlabelled)))
-        n_good = max(1, round(n * good.mean()))
-        taken: set[int] = set()
-        for scores, other, to in ((by_text, by_meta, "meta"), (by_meta, by_text, "text")):
-            order = np.argsort(scores, kind="stable")
-            # confident by its calibrated score, and not against the other view's own confidence
-            sure = {True: [k for k in order[::-1][:n_good] if scores[k] > SURE > -other[k]], False: [k for k in order[: max(1, n - n_good)] if -scores[k] > SURE > other[k]]}
-            for label, chosen in sure.items():
-                for k in chosen:
-                    if k not in taken:
-                        given[to].append((label, *unlabelled[pool[k]]))
-                        taken.add(int(k))
-        pool = [p for k, p in enumerate(pool) if k not in taken]
-    y = good[held]
-    text.calibrate([w for _, w, _ in rest], y)
-    meta.calibrate([m for _, _, m in rest], y)
-    t, m = text.logit([w for _, w, _ in rest]), meta.logit([m for _, _, m in rest])
-    return Model(text, meta, _logistic(np.stack([t, m, np.minimum(t, m)], axis=1), y), 0.0)
+    train, choose, calibrate, combine = _splits(good, seed)
+    sides = ([w for _, w, _ in labelled], [m for _, _, m in labelled])
+    pool_sides = ([w for w, _ in unlabelled], [m for _, m in unlabelled])
+    pick = lambda sets, rows: [sets[i] for i in rows]
+    given: list[dict[int, bool]] = [{}, {}]  # pseudo-labels by pool row, for each view
+
+    def fitted(k: int, extra: dict[int, bool]) -> View:
+        view = View((DIMS, META)[k])
+        sets = pick(sides[k], train) + pick(pool_sides[k], extra)
+        y = np.concatenate([good[train], np.array([*extra.values()], bool)])
+        view.fit(sets, y, _telling(sets, y) if k == 0 else None)
+        view.calibrate(pick(sides[k], calibrate), good[calibrate])
+        return view
+
+    def combined(pair: list[View]) -> tuple[np.ndarray, float]:
+        """The combination of two views, and its loss on the rows that choose."""
+        x = lambda rows: _both(*(view.logit(pick(sides[k], rows)) for k, view in enumerate(pair)))
+        mix = _logistic(x(combine), good[combine])
+        return mix, _loss(x(choose) @ mix[:-1] + mix[-1], good[choose])
+
+    views = [fitted(0, {}), fitted(1, {})]
+    (mix, best), open_to, handed = combined(views), {0, 1}, 0
+    for _ in range(rounds if unlabelled else 0):
+        chosen = [view.logit(pick(sides[k], choose)) for k, view in enumerate(views)]
+        pool = [view.logit(pool_sides[k]) for k, view in enumerate(views)]
+        # a view hands out what it has been right about on rows of known label, for each class by itself
+        least = [{True: _sure(chosen[k], good[choose]), False: _sure(-chosen[k], ~good[choose])} for k in (0, 1)]
+        room = max(2, int(HANDED * len(unlabelled)))
+        for to in sorted(open_to):
+            giver, extra = 1 - to, dict(given[to])
+            for label, share in ((True, good.mean()), (False, 1 - good.mean())):
+                own, other = (pool[giver], pool[to]) if label else (-pool[giver], -pool[to])
+                free = [i for i in np.argsort(-own, kind="stable").tolist() if own[i] >= least[giver][label] and -other[i] < least[to][not label] and i not in extra]
+                extra.update((i, label) for i in free[: max(1, round(room * share))])
+            if len(extra) == len(given[to]):
+                continue
+            pair = [view if k != to else fitted(to, extra) for k, view in enumerate(views)]
+            new, loss = combined(pair)
+            if loss > best:  # these pseudo-labels hurt: the view stays as it is, and takes no more
+                open_to.discard(to)
+                continue
+            handed += len(extra) - len(given[to])
+            given[to], views, mix, best = extra, pair, new, loss
+    return Model(*views, mix, 0.0, handed)
 
 
 def _score(shared: object):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model: Model = shared.value
+        model = unpacked(shared.value)
         for batch, raw, offs in words.groups(batches):
             n = batch.num_rows
             if model.text is None:
@@ -248,14 +286,8 @@ def _views(documents: DataFrame) -> DataFrame:
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), *given, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
 
-def train(spark: SparkSession, documents: DataFrame, labels: DataFrame, seed: int = 3) -> Model:
-    """Fit on a bounded sample of the labelled documents and of others."""
-    model = _fitted(documents, labels, seed)
-    common.give_back()
-    return model
-
-
-def _fitted(documents: DataFrame, labels: DataFrame, seed: int) -> Model:
+def train(documents: DataFrame, labels: DataFrame, seed: int = 3) -> bytes:
+    """Fit on a bounded sample of the labelled documents and of others, in an executor; the packed model."""
     known = labels.where("doc_id is not null and quality is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.min(((F.col("quality") == 1) & (F.col("toxic") == 0)).cast("int")) == 1).alias("good"))
     share = min(1.0, LABELLED / max(1, known.count()))
     hashed = lambda salt, column: F.pmod(F.xxhash64(F.lit(salt), column), F.lit(1_000_000))
@@ -263,24 +295,48 @@ def _fitted(documents: DataFrame, labels: DataFrame, seed: int) -> Model:
     views = _views(documents)
     others = min(1.0, UNLABELLED / max(1, documents.count()))
     mixed = views.join(chosen, "doc_id", "left").where(F.col("good").isNotNull() | (hashed(seed + 1, "doc_id") < round(others * 1_000_000)))
-    got = mixed.mapInArrow(_examples, "doc_id long, good boolean, words binary, meta binary").toArrow()
-    # the driver holds the sample once, as Arrow buffers
+    examples = mixed.mapInArrow(_examples, "doc_id long, good boolean, words binary, meta binary")
+    return common.in_one_task(examples, lambda batches: packed(_learned(batches, seed)))
+
+
+def _learned(batches: list[pa.RecordBatch], seed: int) -> Model:
+    """Train on the examples of the sample; equal examples count once, for copies of a document would outweigh the others."""
     rows = []
-    for doc, good, own, meta in zip(*(got.column(c) for c in ("doc_id", "good", "words", "meta")), strict=True):
-        own, meta, doc = own.as_buffer(), meta.as_buffer(), doc.as_py()
-        named = hashlib.sha256(own).digest()
-        rows.append(((doc is None, doc or 0, named, bytes(meta)), good.as_py(), named, np.frombuffer(own, np.int32), np.frombuffer(meta, np.uint16).astype(np.int32)))
+    for batch in batches:
+        for doc, good, own, meta in zip(*(batch.column(c) for c in ("doc_id", "good", "words", "meta")), strict=True):
+            own, meta, doc = own.as_buffer(), meta.as_buffer(), doc.as_py()
+            named = hashlib.sha256(own).digest()
+            rows.append(((doc is None, doc or 0, named, bytes(meta)), good.as_py(), named, np.frombuffer(own, np.int32), np.frombuffer(meta, np.uint16).astype(np.int32)))
     rows.sort(key=lambda r: r[0])
-    once = {(good, named): (key, good, own, meta) for key, good, named, own, meta in reversed(rows)}  # copies of a document would outweigh the others
-    del got, mixed
+    once = {(good, named): (key, good, own, meta) for key, good, named, own, meta in reversed(rows)}
     rows = sorted(once.values(), key=lambda r: r[0])
-    return co_train([r[1:] for r in rows if r[1] is not None], [r[2:] for r in rows if r[1] is None])
+    return co_train([r[1:] for r in rows if r[1] is not None], [r[2:] for r in rows if r[1] is None], seed)
+
+
+def packed(model: Model) -> bytes:
+    """The model with only the weights that are not 0."""
+    views = [v and (len(v.weights), at := np.flatnonzero(v.weights), v.weights[at], v.bias, v.scale, v.shift) for v in (model.text, model.meta)]
+    return pickle.dumps((views, model.mix, model.constant, model.handed))
+
+
+def unpacked(raw: bytes) -> Model:
+    views, mix, constant, handed = pickle.loads(raw)
+    out: list[View | None] = []
+    for parts in views:
+        view = None
+        if parts is not None:
+            size, at, weights, *rest = parts
+            view = View(size)
+            view.weights[at] = weights
+            view.bias, view.scale, view.shift = rest
+        out.append(view)
+    return Model(*out, mix, constant, handed)
 
 
 def score(spark: SparkSession, documents: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, score (probability of a good document), text_score, meta_score, keep."""
     common.short_batches(spark)
-    shared = spark.sparkContext.broadcast(train(spark, documents, labels))
+    shared = spark.sparkContext.broadcast(train(documents, labels))
     found = _views(documents).mapInArrow(_score(shared), "doc_id long, score double, text_score double, meta_score double")
     return found.withColumn("keep", F.col("score") >= KEEP)
 
@@ -288,14 +344,21 @@ def score(spark: SparkSession, documents: DataFrame, labels: DataFrame) -> DataF
 def keep_good(spark: SparkSession, documents: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that the classifier keeps, with all their columns; each row is judged by itself."""
     common.short_batches(spark)
-    shared = spark.sparkContext.broadcast(train(spark, documents, labels))
+    shared = spark.sparkContext.broadcast(train(documents, labels))
     run, names = _score(shared), list(documents.columns)
+    place = {c.lower(): i for i, c in enumerate(names)}
+    seen = [place.get(c) for c in ("doc_id", "source", "lang", "text")]
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            scores = np.concatenate([out.column("score").to_numpy() for out in run(iter([batch.select(["doc_id", "__source", "__lang", "__text"]).rename_columns(["doc_id", "source", "lang", "text"])]))]) if batch.num_rows else np.zeros(0)
-            yield batch.select(names).filter(pa.array(scores >= KEEP))
-
-    given = {c.lower(): c for c in documents.columns}
-    shown = documents.select("*", *(F.col(given[c]).cast("string").alias(f"__{c}") if c in given else F.lit(None).cast("string").alias(f"__{c}") for c in ("source", "lang")), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("__text"))
-    return shown.mapInArrow(judge, documents.schema)
+            if not batch.num_rows:
+                continue
+            none = pa.nulls(batch.num_rows, pa.string())
+            views = [none if i is None else batch.column(i) for i in seen]
+            views = [views[0].cast(pa.int64()), *(v.cast(pa.string()) for v in views[1:])]
+            views[3] = views[3].fill_null("")
+            shown = pa.RecordBatch.from_arrays(views, names=["doc_id", "source", "lang", "text"])
+            scores = np.concatenate([out.column("score").to_numpy() for out in run(iter([shown]))])
+            yield batch.filter(pa.array(scores >= KEEP))
+
+    return documents.mapInArrow(judge, documents.schema)
