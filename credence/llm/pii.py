@@ -12,6 +12,7 @@ driver's part is bounded whatever the corpus. Labelers are assumed independent g
 
 Defined cases: a null text is the empty text and has no spans. Positions are code points, ends exclusive. Repeated rows give equal results.
 A candidate that overlaps a base span is dropped; all others are judged, and of overlapping accepted ones the one that starts first stays, the longer one on ties.
+Scanning takes linear time on any text.
 Without candidates nothing is trained. An empty table gives no rows. Columns besides ``doc_id`` and ``text`` are ignored.
 """
 
@@ -35,16 +36,26 @@ BASE = {
     "card": re.compile(r"[0-9]([\x20-]?[0-9])+"),
     "phone": re.compile(r"\+[0-9][\x20().0-9-]+[0-9]"),
 }
+#: The same matches by scans that enter a run of characters at its start only, so that no text takes more than linear time.
+_LOCAL = r"[A-Za-z0-9._%+-]"
+_EMAIL = _LOCAL + r"++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
+_EMAIL_FIRST, _EMAIL_HERE = re.compile(rf"(?<!{_LOCAL}){_EMAIL}"), re.compile(_EMAIL)
+_SCANS = {
+    "ip": re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"),
+    "card": re.compile(r"[0-9](?:[\x20-]?[0-9])++"),
+    "phone": BASE["phone"],
+}
 #: What the method may add, in the order in which it is listed after the base kinds.
 MORE = ("account", "contact", "credential")
 _DIGIT = re.compile(r"[0-9]")
+_OTHER = re.compile(r"[^0-9]+")
 _SIGN = re.compile(r"[=:]")
 _CANDIDATES = (
-    ("credential", re.compile(r"(?<![A-Za-z0-9])[A-Z0-9]{16,64}(?![A-Za-z0-9])")),
-    ("credential", re.compile(r"(?<![A-Za-z0-9])[A-Za-z_]{3,24} ?[=:] ?\"?[A-Za-z0-9_/+.-]{8,128}\"?")),
-    ("credential", re.compile(r"(?<![A-Za-z0-9])[0-9a-f]{24,128}(?![A-Za-z0-9])")),
+    ("credential", re.compile(r"(?<![A-Za-z0-9])[A-Z0-9]{16,}+(?![A-Za-z0-9])")),
+    ("credential", re.compile(r"(?<![A-Za-z0-9_])[A-Za-z_]{3,}+ ?[=:] ?\"?[A-Za-z0-9_/+.-]{8,}+\"?")),
+    ("credential", re.compile(r"(?<![A-Za-z0-9])[0-9a-f]{24,}+(?![A-Za-z0-9])")),
     ("contact", re.compile(r"(?<![0-9A-Za-z+.-])\(?[0-9]{2,4}\)?[ .-][0-9]{3,4}[ .-][0-9]{3,4}(?![0-9A-Za-z])")),
-    ("contact", re.compile(r"(?<![A-Za-z0-9])[A-Za-z0-9._-]+ ?(?:\(at\)|\[at\]) ?[A-Za-z0-9-]+(?: ?(?:\.|\(dot\)|\[dot\]) ?[A-Za-z0-9-]+)+")),
+    ("contact", re.compile(r"(?<![A-Za-z0-9._-])[A-Za-z0-9._-]++ ?(?:\(at\)|\[at\]) ?[A-Za-z0-9-]++(?: ?(?:\.|\(dot\)|\[dot\]) ?[A-Za-z0-9-]++)+")),
     ("account", re.compile(r"(?<![A-Za-z0-9])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![A-Za-z0-9])")),
     ("account", re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?![A-Za-z0-9])")),
 )
@@ -73,21 +84,27 @@ def _luhn(digits: str) -> bool:
 
 def _fits(kind: str, found: str) -> bool:
     if kind == "ip":
-        return all(int(p) <= 255 for p in found.split("."))
+        return all(len(p.lstrip("0")) <= 3 and int(p[-3:]) <= 255 for p in found.split("."))
     if kind in ("card", "phone"):
-        digits = "".join(c for c in found if "0" <= c <= "9")
+        digits = _OTHER.sub("", found)
         return 13 <= len(digits) <= 19 and _luhn(digits) if kind == "card" else 9 <= len(digits) <= 15
     return True
 
 
+def _emails(text: str) -> Iterator[re.Match]:
+    """All matches from left to right; one may begin where the last has ended, within a run of characters."""
+    m = _EMAIL_FIRST.search(text) if "@" in text else None
+    while m:
+        yield m
+        m = _EMAIL_HERE.match(text, m.end()) or _EMAIL_FIRST.search(text, m.end())
+
+
 def base_spans(text: str) -> list[tuple[str, int, int]]:
     """(kind, start, end) of the base patterns, by kind as listed, then start."""
-    out = []
-    number = _DIGIT.search(text)
-    for kind, pattern in BASE.items():
-        if (kind == "email" and "@" not in text) or (kind == "phone" and "+" not in text) or (kind != "email" and not number):
-            continue
-        out += [(kind, m.start(), m.end()) for m in pattern.finditer(text) if _fits(kind, m[0])]
+    out = [("email", m.start(), m.end()) for m in _emails(text)]
+    if _DIGIT.search(text):
+        for kind, pattern in _SCANS.items():
+            out += [(kind, m.start(), m.end()) for m in pattern.finditer(text) if _fits(kind, m[0])]
     return out
 
 
@@ -146,6 +163,7 @@ def candidates(text: str, taken: list[tuple[str, int, int]]) -> list[tuple[str,
 
 
 _ROW = pa.schema([("doc_id", pa.int64()), *((f"n_{k}", pa.int64()) for k in BASE), ("base_sha256", pa.string()), ("base", pa.string()), ("candidates", pa.list_(pa.struct([("kind", pa.string()), ("s", pa.int64()), ("e", pa.int64()), ("pattern", pa.int64())])))])
+_KEPT = ("doc_id", *(f"n_{k}" for k in BASE), "base_sha256")
 _SCHEMA = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, base string, candidates array<struct<kind:string,s:long,e:long,pattern:long>>"
 
 
@@ -227,17 +245,34 @@ def _judged(spark: SparkSession, documents: DataFrame) -> tuple[DataFrame, list[
     return found, accepted_patterns([(r["pattern"], r["count"]) for r in counted])
 
 
+def _listed(accepted: frozenset[int]):
+    """Each row's spans: the base ones, then the accepted candidates that overlap none before them, by kind and start."""
+    schema = pa.schema([*((f, _ROW.field(f).type) for f in _KEPT), ("spans", pa.string()), *((f"n_{k}", pa.int64()) for k in (*MORE, "added", "spans"))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for base, found in zip(batch.column("base").to_pylist(), batch.column("candidates").to_pylist(), strict=True):
+                chosen: dict[str, list[str]] = {k: [] for k in MORE}
+                reach = 0
+                for c in found:
+                    if c["pattern"] in accepted and c["s"] >= reach:
+                        reach = c["e"]
+                        chosen[c["kind"]].append(f"{c['kind']}:{c['s']}:{c['e']}")
+                added = [x for k in MORE for x in chosen[k]]
+                every = ([base] if base else []) + added
+                rows.append((",".join(every), *(len(chosen[k]) for k in MORE), len(added), len(added) + (base.count(",") + 1 if base else 0)))
+            new = [pa.array([r[i] for r in rows], t) for i, t in enumerate(schema.types[len(_KEPT) :])]
+            yield pa.RecordBatch.from_arrays([*(batch.column(f) for f in _KEPT), *new], schema=schema)
+
+    return run
+
+
 def find(spark: SparkSession, documents: DataFrame) -> DataFrame:
-    """doc_id, counts and digest of the base spans, and all spans as one string."""
+    """doc_id, counts and digest of the base spans, all spans as one string, and how many the method adds, by kind and in all."""
     found, accepted = _judged(spark, documents)
-    none = F.array().cast("array<struct<kind:string,s:long,e:long,pattern:long>>")
-    good = F.filter("candidates", lambda c: F.array_contains(F.lit(accepted), c["pattern"])) if accepted else none
-    start = F.struct(F.lit(0).cast("long").alias("reach"), none.alias("kept"))
-    add = lambda a, c: F.struct(c["e"].alias("reach"), F.concat(a["kept"], F.array(c)).alias("kept"))
-    good = F.aggregate(good, start, lambda a, c: F.when(c["s"] >= a["reach"], add(a, c)).otherwise(a), lambda a: a["kept"])
-    listed = F.concat(*[F.transform(F.filter(good, lambda c: c["kind"] == F.lit(kind)), lambda c: F.concat_ws(":", c["kind"], c["s"].cast("string"), c["e"].cast("string"))) for kind in MORE])
-    spans = F.concat_ws(",", F.when(F.col("base") != "", F.col("base")), F.when(F.size(listed) > 0, F.concat_ws(",", listed)))
-    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", spans.alias("spans"))
+    counts = ", ".join(f"n_{k} long" for k in (*MORE, "added", "spans"))
+    return found.mapInArrow(_listed(frozenset(accepted)), f"doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, {counts}")
 
 
 def masked(text: str, accepted: frozenset[int]) -> str:
