@@ -1,22 +1,23 @@
 """Operator 4: benchmark decontamination by latent semantic retrieval.
 
 Texts become runs of word columns: a word of the benchmark has its column, any other word none. Inverse passage frequencies
-are counted over all passages of all documents (runs of ``WINDOW`` words, one every ``STRIDE``). The benchmark's passages are a
-TF-IDF matrix whose ``RANK`` leading right singular vectors come from a distributed randomised SVD: partitions multiply their
-rows with a random sketch, the products are summed, twice with an orthonormal step between. The subspace is that of the
-benchmark, since only what lies in it adds to a product with a benchmark passage. Each document passage is projected; the cosine
-with its full TF-IDF length gives candidates. Words in more than ``STOP`` of all passages (and ``STOP_LEAST`` at least) weigh nothing there,
-so a second, exact way gives every other pair that could pass the check, whatever its words weigh: of an item of L words of which m must match, all but
-L - m + k rarest may be missing only if k of these are near the passage (``_near``). A candidate is checked on the words around it: the longest common subsequence with the
+are counted over all passages of all documents (runs of ``WINDOW`` words, one every ``STRIDE``). The TF-IDF matrix of all passages, those of
+the documents and of the benchmark, each of length 1, gives a latent space of ``RANK`` dimensions by a distributed randomised SVD: tasks
+multiply their passages with a random sketch and add the products up by word, once for a basis and once more for the singular vectors in
+it; blocks of the sums are added in executors. Every passage is projected, and its cosine with each
+benchmark passage in that space gives candidates (``COSINE``). A candidate is checked on the words around it: the longest common subsequence with the
 whole item (bit-parallel), within a stretch of bounded length. ``VERBATIM`` of the item's words in order is a leak; from
 ``PARAPHRASE`` on it is one if the item's answer (its last sentence) is found there in order, too.
 
-The benchmark is read in blocks of ``ITEMS`` items and searched in parts of at most ``RANK`` passages (an item with more is a part by
-itself), so what is broadcast doesn't grow with the number of items; each part sees every passage of every document. Each ``RANK`` passages have
-a basis of their own, so that it spans all of them, however long the items are. Documents are never dropped, cut or sampled.
+What a space of few dimensions blurs is made up for by an exact bound (``_near``): of an item of L words of which m must match, all but
+L - m + k rarest may be missing only if k of these are near the passage. Candidates out of that bound can't pass the check and are not
+tried; pairs within it that are no candidates are checked all the same, so that no leak is lost. ``retrieved`` tells which leaks the latent search gave.
+
+The benchmark is read in blocks of about ``BLOCK_BYTES`` of text (a longer item is one by itself), so what is broadcast doesn't grow with the number of
+items. Documents are never dropped, cut or sampled.
 
 Defined cases: a null or empty text has no passages. Items without words leak nowhere; an item with fewer words than a window is one
-passage. Repeated documents or items are reported each. The cosine of a leak found by the second way may be below ``COSINE``, and is 0 where all its words weigh nothing. Equal leaks in one document give the first place. Empty tables give no rows. Other columns are ignored.
+passage. Repeated documents or items are reported each. Equal leaks in one document give the first place. Empty tables give no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,6 +27,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,11 +35,11 @@ from pyspark.sql import functions as F
 from credence.llm import common, vectors, words
 
 WINDOW, STRIDE = 48, 24
-ITEMS, RANK, OVERSAMPLE = 256, 256, 16
-COSINE, VERBATIM, PARAPHRASE, ANSWER = 0.25, 0.8, 0.55, 0.6
-STOP, STOP_LEAST = 0.01, 50
+BLOCK_BYTES, RANK, OVERSAMPLE = 1 << 19, 64, 8
+COSINE, VERBATIM, PARAPHRASE, ANSWER = 0.5, 0.8, 0.55, 0.6
+CHUNK, SUMS, TASK_PASSAGES = 1024, 32, 100_000  # passages multiplied at once; blocks of a sum; passages a task sums up at least
 RUN = 8
-LEAK = "doc_id long, item_id long, start_word long, matched long, item_words long, cosine double, verbatim boolean"
+LEAK = "doc_id long, item_id long, start_word long, matched long, item_words long, cosine double, verbatim boolean, retrieved boolean"
 
 
 @dataclass
@@ -132,47 +134,90 @@ def _frequencies(width: int):
     return run
 
 
-def _tfidf(items: Items, idf: np.ndarray) -> list[tuple[int, np.ndarray, np.ndarray]]:
-    """(item, columns, weights of length 1) of each benchmark passage."""
-    out = []
+def _windows(flat: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The word columns of each passage, -1 beyond its end."""
+    at = start[:, None] + np.arange(WINDOW)
+    return np.where(at < end[:, None], flat[np.minimum(at, len(flat) - 1)], -1)
+
+
+def _benchmark_windows(items: Items) -> tuple[np.ndarray, np.ndarray]:
+    """The benchmark's passages, and the item of each (ascending)."""
+    out, item_of = [], []
     for i, columns in enumerate(items.columns):
-        for s in _starts(len(columns)):
-            c, tf = np.unique(columns[s : s + WINDOW], return_counts=True)
-            w = tf * idf[c]
-            out.append((i, c, w / max(np.sqrt((w * w).sum()), 1e-12)))
-    return out
+        starts = _starts(len(columns))
+        out.append(_windows(columns, starts, np.minimum(starts + WINDOW, len(columns))))
+        item_of += [i] * len(starts)
+    return np.concatenate(out), np.array(item_of)
+
 
+def _with_none(table: np.ndarray) -> np.ndarray:
+    """The table with a row of zeros at its end, which is that of a word without a column (-1)."""
+    return np.vstack([table, np.zeros((1, table.shape[1]))]).astype(np.float32)
 
-def _sketch(spark: SparkSession, rows: DataFrame, right: np.ndarray) -> np.ndarray:
-    """A'(A right), summed over the partitions of the rows of A (columns, weights)."""
-    wide = spark.sparkContext.broadcast(right)
+
+def _sums(windows: np.ndarray, weighted: np.ndarray, square: np.ndarray, total: np.ndarray) -> None:
+    """Add A'(A right) of these passages to ``total`` but for the last weighting: ``weighted`` is idf * right, ``square`` idf * idf."""
+    for at in range(0, len(windows), CHUNK):
+        some = windows[at : at + CHUNK]
+        length = square[some].sum(axis=1)
+        product = weighted[some].sum(axis=1) / np.maximum(length, 1e-9)[:, None]
+        word = some.ravel()
+        order = np.argsort(word, kind="stable")
+        word = word[order]
+        edges = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
+        total[word[edges]] += np.add.reduceat(product[order // WINDOW], edges, axis=0)
+
+
+def _sketch(spark: SparkSession, columns: DataFrame, own: np.ndarray, idf: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """A'(A right) over all passages of the documents and of the benchmark (``own``)."""
+    width, rank = right.shape
+    rows = -(-width // SUMS)
+    shared = spark.sparkContext.broadcast((_with_none(idf[:, None] * right), np.append(idf * idf, 0.0)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros_like(wide.value)
-        for batch in batches:
-            for c, w in zip(batch.column("columns").to_pylist(), batch.column("weights").to_pylist(), strict=True):
-                c, w = np.frombuffer(c, np.int64), np.frombuffer(w, np.float64)
-                total[c] += w[:, None] * (w @ wide.value[c])[None, :]
-        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["part"])
-
-    total = np.zeros_like(right)
-    for r in rows.mapInArrow(run, "part binary").toLocalIterator():  # a bounded matrix for each of a few partitions, one at a time
-        total += np.frombuffer(r["part"], np.float64).reshape(right.shape)
-    return total
-
-
-def _basis(spark: SparkSession, passages: list, width: int, seed: int = 11) -> np.ndarray:
-    """Leading right singular vectors of the benchmark's TF-IDF passages, by a randomised SVD."""
-    rank = min(RANK, len(passages), width)
-    rows = spark.createDataFrame([(bytearray(c.astype(np.int64).tobytes()), bytearray(w.tobytes())) for _, c, w in passages], "columns binary, weights binary").repartition(4)
+        weighted, square = shared.value
+        total = np.zeros((width + 1, rank))
+        for _, _, flat, start, (end, _) in _passages(batches):
+            for at in range(0, len(start), CHUNK):
+                _sums(_windows(flat, start[at : at + CHUNK], end[at : at + CHUNK]), weighted, square, total)
+        parts = [total[:width][k * rows : (k + 1) * rows].tobytes() for k in range(SUMS)]
+        yield pa.RecordBatch.from_arrays([pa.array(range(SUMS), pa.int32()), pa.array(parts, pa.binary())], names=["block", "part"])
+
+    def add(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        total = np.sum([np.frombuffer(x, np.float64) for x in pdf["part"]], axis=0)
+        return pd.DataFrame({"block": [key[0]], "part": [total.tobytes()]})
+
+    kind = "block int, part binary"
+    # first those of a few tasks each, so that no group holds the parts of all tasks
+    some = columns.mapInArrow(run, kind).withColumn("few", F.spark_partition_id() % 64)
+    once = some.groupBy("block", "few").applyInPandas(add, kind)
+    total = np.zeros((width + 1, rank))
+    for r in once.groupBy("block").applyInPandas(add, kind).toLocalIterator():  # SUMS rows, which together are one matrix
+        part = np.frombuffer(r["part"], np.float64).reshape(-1, rank)
+        total[r["block"] * rows : r["block"] * rows + len(part)] += part
+    _sums(own, *shared.value, total)
+    shared.unpersist()
+    return idf[:, None] * total[:width]
+
+
+def _latent(spark: SparkSession, columns: DataFrame, own: np.ndarray, idf: np.ndarray, passages: int, seed: int = 11) -> np.ndarray:
+    """Leading right singular vectors of the TF-IDF passages, by a randomised SVD; words x dimensions."""
+    width = len(idf)
+    rank = min(RANK, width)
+    few = columns.coalesce(max(2 * spark.sparkContext.defaultParallelism, passages // TASK_PASSAGES))
     sketch = np.random.default_rng(seed).normal(size=(width, min(rank + OVERSAMPLE, width)))
-    for _ in range(2):
-        sketch = np.linalg.qr(_sketch(spark, rows, sketch))[0]
-    small = sketch.T @ _sketch(spark, rows, sketch)
+    sketch = np.linalg.qr(_sketch(spark, few, own, idf, sketch))[0]
+    small = sketch.T @ _sketch(spark, few, own, idf, sketch)
     values, vectors_ = np.linalg.eigh((small + small.T) / 2)
     return sketch @ vectors_[:, np.argsort(-values)[:rank]]
 
 
+def _projected(windows: np.ndarray, space: np.ndarray) -> np.ndarray:
+    """The passages in the latent space, each of length 1 (or 0)."""
+    out = space[windows].sum(axis=1)
+    return out / np.maximum(np.sqrt((out * out).sum(axis=1)), 1e-12)[:, None]
+
+
 def _places(a: np.ndarray) -> dict[int, int]:
     """For each word, the bits of its places in ``a``."""
     places: dict[int, int] = {}
@@ -255,33 +300,24 @@ def _near(rare: Rare, flat: np.ndarray, base: np.ndarray, start: np.ndarray) ->
 
 
 def _search(shared: object):
-    """Candidates by cosine, then the check of each (document, item) on the words around its passages."""
+    """Latent cosines of all passages, then the check of each (document, item) on the words around its passages."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items, idf, other, gain, item_of, rare = shared.value
+        items, space, latent, item_of, rare = shared.value
         places, answers = [_places(c) for c in items.columns], [_places(a) for a in items.answers]
-        square = np.append(idf * idf, other * other)  # the last: words outside the benchmark
-        most = np.append(np.maximum(gain.max(axis=1), 0).astype(np.float64), 0.0)
-        rows: list[tuple] = []
+        first = np.flatnonzero(np.concatenate([[True], np.diff(item_of) > 0]))
         for docs, part, flat, start, (end, owner) in _passages(batches):
             if not len(start):
                 continue
-            mass = np.concatenate([[0.0], np.cumsum(square[flat])])
-            bound = np.concatenate([[0.0], np.cumsum(most[flat])])
-            length = np.sqrt(np.maximum(mass[end] - mass[start], 1e-12))
-            # no product is larger than the sum of each word's largest part in any
-            may = np.flatnonzero(bound[end] - bound[start] >= COSINE * length)
-            live = np.flatnonzero(most[flat] > 0)
-            lo, hi = np.searchsorted(live, start[may]), np.searchsorted(live, end[may])
-            for at in range(0, len(may), 512):
-                chosen, first, count = may[at : at + 512], lo[at : at + 512], (hi - lo)[at : at + 512]
-                begin = np.concatenate([[0], np.cumsum(count)[:-1]])
-                every = flat[live[np.repeat(first - begin, count) + np.arange(count.sum())]]
-                scores = np.add.reduceat(gain[every], begin, axis=0) / length[chosen][:, None]
-                for p, q in zip(*np.nonzero(scores >= COSINE), strict=True):
-                    rows.append((int(chosen[p]), int(item_of[q]), float(scores[p, q])))
             base = np.concatenate([[0], np.cumsum([len(x) for x in part])])
             passages, found = _near(rare, flat, base, start)
+            cosine = np.zeros(len(passages), np.float32)
+            order = np.argsort(passages, kind="stable")
+            for at in range(0, len(start), CHUNK):
+                product = _projected(_windows(flat, start[at : at + CHUNK], end[at : at + CHUNK]), space) @ latent.T
+                best_of = np.maximum.reduceat(product, first, axis=1)
+                mine = order[slice(*np.searchsorted(passages, (at, at + CHUNK), sorter=order))]
+                cosine[mine] = best_of[passages[mine] - at, found[mine]]
             # pairs in runs of neighbours; what isn't in the words around a run isn't around any passage of it
             apart = (np.diff(passages) != 1) | (np.diff(found) != 0) | (np.diff(owner[passages]) != 0)
             run_no = np.cumsum(np.concatenate([[0], apart])) if len(passages) else passages
@@ -294,12 +330,10 @@ def _search(shared: object):
                 around = part[o][max(0, start[passages[a]] - base[o] - n) : start[passages[b - 1]] - base[o] + WINDOW + n]
                 if _matched(n, places[i], around) >= rare.least[i]:
                     close.update((p, i) for p in passages[a:b].tolist())
-            pairs = {k: 0.0 for k in sorted(close)}
-            for p, i, score in rows:
-                pairs[p, i] = max(pairs.get((p, i), 0.0), score)
-            rows = []
+            scores = {pair: float(x) for *pair_, x in zip(passages.tolist(), found.tolist(), cosine, strict=True) if (pair := tuple(pair_)) in close}
             best: dict[tuple[int, int], tuple] = {}
-            for (p, i), score in sorted(pairs.items()):
+            retrieved: set[tuple[int, int]] = set()
+            for (p, i), score in sorted(scores.items()):
                 o, n = int(owner[p]), len(items.columns[i])
                 lo = int(max(0, start[p] - base[o] - n))
                 near = part[o][lo : start[p] - base[o] + WINDOW + n]
@@ -309,72 +343,45 @@ def _search(shared: object):
                 verbatim = matched / n >= VERBATIM
                 if not verbatim and _matched(len(items.answers[i]), answers[i], near) < ANSWER * len(items.answers[i]):
                     continue
-                if not score:
-                    inside = flat[start[p] : end[p]]
-                    score = float(np.max(gain[inside[inside >= 0]][:, item_of == i].sum(axis=0), initial=0.0) / length[p])
+                if score >= COSINE:
+                    retrieved.add((o, i))
                 if (o, i) not in best or (matched, score) > best[o, i][:2]:
                     best[o, i] = (matched, score, lo, n, verbatim)
-            out = [(docs[o], items.ids[i], lo, matched, n, score, verbatim) for (o, i), (matched, score, lo, n, verbatim) in best.items()]
+            out = [(docs[o], items.ids[i], lo, matched, n, score, verbatim, (o, i) in retrieved) for (o, i), (matched, score, lo, n, verbatim) in best.items()]
             if out:
-                kinds = [pa.int64()] * 5 + [pa.float64(), pa.bool_()]
-                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], names=["doc_id", "item_id", "start_word", "matched", "item_words", "cosine", "verbatim"])
+                kinds = [pa.int64()] * 5 + [pa.float64(), pa.bool_(), pa.bool_()]
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], names=["doc_id", "item_id", "start_word", "matched", "item_words", "cosine", "verbatim", "retrieved"])
 
     return run
 
 
-def _search_block(spark: SparkSession, rows: DataFrame, items: Items) -> list[DataFrame]:
+def _search_block(spark: SparkSession, rows: DataFrame, items: Items) -> DataFrame:
     width = len(items.vocabulary)
     columns = common.stage(rows.mapInArrow(_to_columns(items.vocabulary), "doc_id long, columns binary"), "columns")
     counted = vectors.summed(columns, _frequencies(width), width + 1)
-    n = max(1, int(counted[width]))
-    idf = np.where(counted[:width] > max(STOP * n, STOP_LEAST), 0.0, np.log((n + 1) / (counted[:width] + 1)))
-    other = float(np.median(idf[idf > 0])) if idf.any() else 1.0
-    return [_search_part(spark, columns, part, idf, other, counted) for part in _parts(items)]
-
-
-def _parts(items: Items) -> list[Items]:
-    """The items in order, in parts of at most ``RANK`` passages; an item with more is a part by itself."""
-    bounds, size = [0], 0
-    for i, columns in enumerate(items.columns):
-        n = len(_starts(len(columns)))
-        if size and size + n > RANK:
-            bounds.append(i)
-            size = 0
-        size += n
-    return [Items(items.vocabulary, items.ids[a:b], items.columns[a:b], items.answers[a:b]) for a, b in zip(bounds, [*bounds[1:], len(items.ids)], strict=True)]
-
-
-def _search_part(spark: SparkSession, columns: DataFrame, items: Items, idf: np.ndarray, other: float, counted: np.ndarray) -> DataFrame:
-    width = len(items.vocabulary)
-    passages = _tfidf(items, idf)
-    gain = np.empty((width, len(passages)), np.float32)  # what a word adds to each latent product
-    for at in range(0, len(passages), RANK):
-        some = passages[at : at + RANK]
-        basis = _basis(spark, some, width)
-        matrix = np.zeros((width, len(some)))
-        for k, (_, c, w) in enumerate(some):
-            matrix[c, k] = w
-        gain[:, at : at + RANK] = idf[:, None] * (basis @ (basis.T @ matrix))
-        del matrix, basis
-    item_of = np.array([i for i, _, _ in passages])
-    shared = spark.sparkContext.broadcast((items, idf, other, gain, item_of, _rare(items, counted)))
+    n = int(counted[width])
+    idf = np.log((n + 2) / (counted[:width] + 1))  # of every word, however frequent, more than 0
+    own, item_of = _benchmark_windows(items)
+    space = _with_none(idf[:, None] * _latent(spark, columns, own, idf, n))
+    latent = np.concatenate([_projected(own[at : at + CHUNK], space) for at in range(0, len(own), CHUNK)])
+    shared = spark.sparkContext.broadcast((items, space, latent, item_of, _rare(items, counted)))
     common.give_back()
     return columns.mapInArrow(_search(shared), LEAK)
 
 
 def leaks(spark: SparkSession, documents: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """One row for each document and item found in it: doc_id, item_id, start_word, matched, item_words, cosine, verbatim."""
+    """One row for each document and item found in it: doc_id, item_id, start_word, matched, item_words, cosine, verbatim, retrieved."""
     common.short_batches(spark)
     rows = common.texts(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "doc_id")
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
-    blocks = max(1, -(-items.count() // ITEMS))
+    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    blocks = max(1, -(-size // BLOCK_BYTES))
     placed = items.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)))
     found = spark.createDataFrame([], LEAK)
     for k in range(blocks):
-        block = read_items(sorted(placed.where(F.col("block") == k).collect(), key=lambda r: (r["item_id"] is None, r["item_id"])))  # about ITEMS rows
+        block = read_items(sorted(placed.where(F.col("block") == k).collect(), key=lambda r: (r["item_id"] is None, r["item_id"], r["text"] or "")))  # about BLOCK_BYTES
         if len(block.vocabulary):
-            for part in _search_block(spark, rows, block):
-                found = found.unionByName(part)
+            found = found.unionByName(_search_block(spark, rows, block))
     return found
 
 
