@@ -1,8 +1,8 @@
 """Operator 4: benchmark decontamination by latent semantic retrieval.
 
 Texts become runs of word columns: a word of the benchmark has its column, any other word none. Inverse passage frequencies
-are counted over all passages of all documents (runs of ``WINDOW`` words, one every ``STRIDE``). The TF-IDF matrix of all passages, those of
-the documents and of the benchmark, each of length 1, gives a latent space of ``RANK`` dimensions by a distributed randomised SVD: tasks
+are counted over all passages of all documents (runs of ``WINDOW`` words, one every ``STRIDE``). The TF-IDF matrix of the benchmark's passages and of
+those of all documents that lie side by side (so that every word counts, once), each of length 1, gives a latent space of ``RANK`` dimensions by a distributed randomised SVD: tasks
 multiply their passages with a random sketch and add the products up by word, once for a basis and once more for the singular vectors in
 it; blocks of the sums are added in executors. Every passage is projected, and its cosine with each
 benchmark passage in that space gives candidates (``COSINE``). A candidate is checked on the words around it: the longest common subsequence with the
@@ -168,23 +168,32 @@ def _sums(windows: np.ndarray, weighted: np.ndarray, square: np.ndarray, total:
         total[word[edges]] += np.add.reduceat(product[order // WINDOW], edges, axis=0)
 
 
+def _apart(start: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """Every other passage of each document, and its last: those that together hold each word, the fewest of them twice."""
+    place = np.arange(len(start)) - np.searchsorted(owner, owner)
+    last = np.concatenate([owner[1:] != owner[:-1], [True]]) if len(owner) else np.zeros(0, bool)
+    return (place % (WINDOW // STRIDE) == 0) | last
+
+
 def _sketch(spark: SparkSession, columns: DataFrame, own: np.ndarray, idf: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """A'(A right) over all passages of the documents and of the benchmark (``own``)."""
+    """A'(A right) over the passages of all documents that lie side by side and those of the benchmark (``own``)."""
     width, rank = right.shape
     rows = -(-width // SUMS)
-    shared = spark.sparkContext.broadcast((_with_none(idf[:, None] * right), np.append(idf * idf, 0.0)))
+    shared = spark.sparkContext.broadcast((_with_none(idf[:, None] * right), np.append(idf * idf, 0.0).astype(np.float32)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weighted, square = shared.value
-        total = np.zeros((width + 1, rank))
-        for _, _, flat, start, (end, _) in _passages(batches):
+        total = np.zeros((width + 1, rank), np.float32)
+        for _, _, flat, start, (end, owner) in _passages(batches):
+            apart = _apart(start, owner)
+            start, end = start[apart], end[apart]
             for at in range(0, len(start), CHUNK):
                 _sums(_windows(flat, start[at : at + CHUNK], end[at : at + CHUNK]), weighted, square, total)
         parts = [total[:width][k * rows : (k + 1) * rows].tobytes() for k in range(SUMS)]
         yield pa.RecordBatch.from_arrays([pa.array(range(SUMS), pa.int32()), pa.array(parts, pa.binary())], names=["block", "part"])
 
     def add(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        total = np.sum([np.frombuffer(x, np.float64) for x in pdf["part"]], axis=0)
+        total = np.sum([np.frombuffer(x, np.float32) for x in pdf["part"]], axis=0, dtype=np.float64).astype(np.float32)
         return pd.DataFrame({"block": [key[0]], "part": [total.tobytes()]})
 
     kind = "block int, part binary"
@@ -193,7 +202,7 @@ def _sketch(spark: SparkSession, columns: DataFrame, own: np.ndarray, idf: np.nd
     once = some.groupBy("block", "few").applyInPandas(add, kind)
     total = np.zeros((width + 1, rank))
     for r in once.groupBy("block").applyInPandas(add, kind).toLocalIterator():  # SUMS rows, which together are one matrix
-        part = np.frombuffer(r["part"], np.float64).reshape(-1, rank)
+        part = np.frombuffer(r["part"], np.float32).reshape(-1, rank)
         total[r["block"] * rows : r["block"] * rows + len(part)] += part
     _sums(own, *shared.value, total)
     shared.unpersist()
