@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from credence.llm import ann, decontam, idstore, jaccard, langid, licenses, packing, pii, quality, sharding
+from credence.llm import ann, decontam, idstore, jaccard, langid, licenses, packing, pii, quality, sharding, twins
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -71,4 +71,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_id_store": op10_id_store,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = twins.ORACLE_SQL
