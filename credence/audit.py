@@ -5,6 +5,8 @@ from __future__ import annotations
 import html
 import json
 import math
+from collections.abc import Iterable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
@@ -32,6 +34,27 @@ class CheckResult:
         return [f for f in self.findings if SEVERITIES.index(f.severity) >= SEVERITIES.index(minimum)]
 
 
+#: Every check in the order of the report, and other names by which one may be asked for.
+CHECKS = (
+    "data_quality", "duplicates", "model_disagreement", "path_sparsity", "channel_concentration", "conversion_window", "converter_contamination", "model_stability", "exposure_comparison",
+    "identity_loss", "touchpoint_loss", "event_loss", "markov_identification",
+)
+ALIASES = {
+    "quality": "data_quality", "duplicate": "duplicates", "sparsity": "path_sparsity", "concentration": "channel_concentration", "window": "conversion_window", "contamination": "converter_contamination",
+    "stability": "model_stability", "temporal_stability": "model_stability", "exposure": "exposure_comparison", "disagreement": "model_disagreement", "identification": "markov_identification",
+}
+AT_ONCE = 4
+
+
+def resolve_check(name: str) -> str:
+    """A check's own name."""
+    key = name.strip().lower().replace(" ", "_").replace("-", "_")
+    key = ALIASES.get(key, key)
+    if key not in CHECKS:
+        raise ValueError(f"unknown check {name!r}; use some of {sorted(CHECKS)}")
+    return key
+
+
 def _clean(x):
     if isinstance(x, dict):
         return {str(k): _clean(v) for k, v in x.items()}
@@ -52,6 +75,12 @@ class AuditReport:
     sensitivity: DataFrame | None = None
     robustness: DataFrame | None = None
     bootstrap: DataFrame | None = None
+    cached: list[DataFrame] = field(default_factory=list)
+
+    def unpersist(self) -> None:
+        """Free what the audit has kept in memory; the report's tables are computed anew if they are read after that."""
+        for table in self.cached:
+            table.unpersist()
 
     def rows(self) -> list[tuple]:
         out = []
@@ -196,21 +225,29 @@ class ReliabilityAudit:
             return CheckResult("markov_identification", "insufficient_evidence", "INFO", None, [], got)
         return CheckResult("markov_identification", "evaluated", "INFO", 100.0, [], got)
 
-    def run(self, simulations: dict | None = None, windows=(7, 14, 30), bootstrap: robustness.BootstrapConfig | None = None, seed: int = 42) -> AuditReport:
-        """All checks once. ``simulations`` maps identity_loss, touchpoint_loss (rates, or False to skip) and event_loss (arguments)."""
+    def run(self, simulations: dict | None = None, windows=(7, 14, 30), bootstrap: robustness.BootstrapConfig | None = None, seed: int = 42, checks: Iterable[str] | None = None) -> AuditReport:
+        """All checks once, or those named in ``checks``. ``simulations`` maps identity_loss, touchpoint_loss (rates, or False to skip) and event_loss (arguments)."""
         frame, _ = validate_events(self.events, self.columns)
         frame = frame.persist()
         touches = self._journeys(frame).persist()
         credits = attribution.attribute_all(touches, self.models).persist()
-        results = [self.check_data_quality(), self.check_duplicates(), self.check_model_disagreement(credits), self.check_path_sparsity(touches), self.check_concentration(touches, credits), self.check_conversion_window(frame, windows), self.check_contamination(frame), self.check_model_stability(touches), self.check_exposure(frame)]
+        wanted = list(CHECKS) if checks is None else [resolve_check(c) for c in checks]
+        work = {
+            "data_quality": self.check_data_quality, "duplicates": self.check_duplicates, "model_disagreement": lambda: self.check_model_disagreement(credits), "path_sparsity": lambda: self.check_path_sparsity(touches),
+            "channel_concentration": lambda: self.check_concentration(touches, credits), "conversion_window": lambda: self.check_conversion_window(frame, windows), "converter_contamination": lambda: self.check_contamination(frame),
+            "model_stability": lambda: self.check_model_stability(touches), "exposure_comparison": lambda: self.check_exposure(frame), "markov_identification": lambda: self.check_identification(touches),
+        }
+        given = {k: v for k, v in ({"identity_loss": (0.10,), "touchpoint_loss": (0.10,)} | (simulations or {})).items() if v and k in wanted}
+        damage = {k: (lambda k=k, v=v: self.simulate(frame, k, (0.0,), seed=seed, **v) if k == "event_loss" else self.simulate(frame, k, v, seed=seed)) for k, v in given.items()}
+        touches.count()  # fills the cache once, before the checks read it side by side
+        with ThreadPoolExecutor(AT_ONCE) as pool:  # the checks are independent Spark jobs
+            plain = {k: pool.submit(f) for k, f in work.items() if k in wanted}
+            simulated = {k: pool.submit(f) for k, f in damage.items()}
+            got = {k: f.result() for k, f in {**plain, **simulated}.items()}
+        results = [got[k][0] if k in simulated else got[k] for k in CHECKS if k in got]
         scenarios = credits.withColumn("scenario", F.concat(F.lit("model:"), "model"))
-        for name, given in ({"identity_loss": (0.10,), "touchpoint_loss": (0.10,)} | (simulations or {})).items():
-            if not given:
-                continue
-            result, more = self.simulate(frame, name, (0.0,), seed=seed, **given) if name == "event_loss" else self.simulate(frame, name, given, seed=seed)
-            results.append(result)
-            scenarios = scenarios.unionByName(more)
-        results.append(self.check_identification(touches))
+        for k in simulated:
+            scenarios = scenarios.unionByName(got[k][1])
         if duplicates.duplicate_counts(self.events, self.columns).first()["exact"]:
             clean = attribution.attribute_all(self._journeys(duplicates.deduplicate(frame)), ["linear" if "linear" in self.models else self.models[0]])
             scenarios = scenarios.unionByName(clean.withColumn("scenario", F.lit("duplicate_handling:deduplicated")))
@@ -220,4 +257,4 @@ class ReliabilityAudit:
             draws = robustness.bootstrap_statistics(robustness.bootstrap_draws(touches, [m for m in self.models if m != "markov"], bootstrap), bootstrap.confidence_level)
         scores = {r.check: r.score for r in results if r.status == "evaluated" and r.score is not None}
         total = reliability_score(scores, self.weights)
-        return AuditReport(results, total, score_label(total), component_scores(scores), credits, robustness.matrix(scenarios), robustness.decision_robustness(scenarios, baseline), draws)
+        return AuditReport(results, total, score_label(total), component_scores(scores), credits, robustness.matrix(scenarios), robustness.decision_robustness(scenarios, baseline), draws, [frame, touches, credits])

@@ -72,6 +72,9 @@ def _absorbed(states: list[str], p: np.ndarray) -> float:
 
 def solve_chain(edges: pd.DataFrame, strategy: str = "reconnect") -> pd.DataFrame:
     """Conversion probability with and without each channel, removal effects and shares, from one chain's edges."""
+    src, dst = edges["src"], edges["dst"]
+    if (src.isin([CONVERSION, NULL]) | (dst == START) | ((src == START) & dst.isin([CONVERSION, NULL]))).any():
+        raise AttributionError("a channel has the name of a state")
     channels = sorted((set(edges["src"]) | set(edges["dst"])) - {START, CONVERSION, NULL})
     states = [START, *channels, CONVERSION, NULL]
     at = {s: i for i, s in enumerate(states)}
@@ -79,7 +82,19 @@ def solve_chain(edges: pd.DataFrame, strategy: str = "reconnect") -> pd.DataFram
     p[[at[s] for s in edges["src"]], [at[d] for d in edges["dst"]]] = edges["prob"]
     base = _absorbed(states, p)
     rows = []
-    for c in channels:
+    if strategy == "redirect_to_null":  # what visits a channel is lost with it: one inverse serves all channels
+        live = len(states) - 2
+        try:
+            visits = np.linalg.inv(np.eye(live) - p[:live, :live])
+        except np.linalg.LinAlgError:
+            visits = None
+        if visits is not None:
+            won = visits @ p[:live, live]
+            lost = visits[0] / np.diag(visits) * won
+            for i, c in enumerate(channels, 1):
+                without = float(np.clip(won[0] - lost[i], 0, 1))
+                rows.append((c, base, without, max(0.0, 1 - without / base) if base else 0.0))
+    for c in channels if not rows else ():
         keep = [i for i, s in enumerate(states) if s != c]
         q = p[np.ix_(keep, keep)].copy()
         live = len(keep) - 2
@@ -105,8 +120,6 @@ def markov_effects(journeys: DataFrame, by: list[str] | None = None, strategy: s
     if max_channels:
         journeys = collapse(journeys, max_channels)
     edges = transitions(journeys, by)
-    if edges.where(F.col("src").isin(CONVERSION, NULL) | (F.col("dst") == START) | ((F.col("src") == START) & F.col("dst").isin(CONVERSION, NULL))).limit(1).count():
-        raise AttributionError("a channel has the name of a state")
     keys = by or ["__all"]
     edges = edges if by else edges.withColumn("__all", F.lit(0))
     kinds = ", ".join(f"{k} {dict(edges.dtypes)[k]}" for k in keys)
@@ -147,10 +160,25 @@ def attribute(journeys: DataFrame, model: str | Callable[[], Column], by: list[s
     return markov(journeys, by) if name == "markov" else credit(journeys, RULES[name](), by)
 
 
+def _rule_credits(journeys: DataFrame, models: list[str], by: list[str]) -> DataFrame:
+    """All rule models in one aggregate, a weight column each, then one row a model and channel."""
+    journey = Window.partitionBy(*by, "user_id", "seg")
+    weighed = journeys.where("converted").select(*by, "channel", "value", "user_id", "seg", *(RULES[m]().alias(f"w{i}") for i, m in enumerate(models)))
+    shares = [share(F.col(f"w{i}"), F.sum(f"w{i}").over(journey)).alias(f"w{i}") for i in range(len(models))]
+    totals = [x for i in range(len(models)) for x in (F.sum(F.col(f"w{i}") * F.col("value")).alias(f"credit{i}"), F.sum(f"w{i}").alias(f"n{i}"))]
+    summed = weighed.select(*by, "channel", "value", *shares).groupBy(*by, "channel").agg(*totals)
+    each = F.explode(F.array(*[F.struct(F.lit(m).alias("model"), F.col(f"credit{i}").alias("attribution_credit"), F.col(f"n{i}").alias("conversions")) for i, m in enumerate(models)]))
+    rows = summed.select(*by, "channel", each.alias("x")).select(*by, "channel", "x.*").where("conversions > 0")
+    total = F.sum("attribution_credit").over(Window.partitionBy(*by, "model"))
+    return rows.select(*by, "channel", "attribution_credit", share(F.col("attribution_credit"), total).alias("share"), "conversions", "model")
+
+
 def attribute_all(journeys: DataFrame, models: list[str], by: list[str] | None = None) -> DataFrame:
-    """One table for all models, with the model as a column."""
-    out = None
-    for m in models:
-        one = attribute(journeys, m, by).withColumn("model", F.lit(resolve(m)))
-        out = one if out is None else out.unionByName(one)
+    """One table for all models, with the model as a column; rule models share one pass."""
+    names = list(dict.fromkeys(resolve(m) for m in models))
+    rules = [m for m in names if m in RULES]
+    out = _rule_credits(journeys, rules, by or []) if rules else None
+    if "markov" in names:
+        chain = markov(journeys, by).withColumn("model", F.lit("markov"))
+        out = chain if out is None else out.unionByName(chain)
     return out

@@ -48,6 +48,11 @@ def _raw(events: DataFrame, mapping: ColumnMapping) -> tuple[DataFrame, dict[str
     return events.select(*columns), found
 
 
+def spread(column: str):
+    """A second key that deals rows without a value out; with one it is the same for all of a value."""
+    return F.when(F.col(column).isNull(), F.pmod(F.xxhash64("user_id", "raw_ts"), F.lit(1024)))
+
+
 def quality_counts(events: DataFrame, columns: ColumnMapping | dict | None = None, reference_time: str | datetime | None = None, future_tolerance="0s", minimum_timestamp: str = "1970-01-01") -> DataFrame:
     """One row with every count; a check whose columns are missing counts null."""
     frame, found = _raw(events, ColumnMapping.of(columns))
@@ -57,24 +62,38 @@ def quality_counts(events: DataFrame, columns: ColumnMapping | dict | None = Non
     frame = frame.withColumn("first_exposure", F.min(F.when(~F.col("conv"), F.col("ts"))).over(user)).withColumn("has_exposure", F.max(~F.col("conv")).over(user) & F.col("user_id").isNotNull())
     ids = [c for c in ("conversion_id", "order_id") if c in found]
     for c in ids:
-        frame = frame.withColumn(f"times_{c}", F.when(F.col(c).isNotNull(), F.count(F.lit(1)).over(Window.partitionBy(c))))
+        frame = frame.withColumn(f"times_{c}", F.when(F.col(c).isNotNull(), F.count(F.lit(1)).over(Window.partitionBy(c, spread(c)))))
     repeated = F.lit(False)
     for c in ids:
         repeated = repeated | F.coalesce(F.col(f"times_{c}") > 1, F.lit(False))
-    empty = F.lit(None).cast("long")
-    return frame.agg(
-        F.count(F.lit(1)).alias("rows"), F.count_distinct("user_id").alias("users"), F.count_if("conv").alias("conversions"),
-        F.count_if(F.col("user_id").isNull()).alias("null_user_id"), F.count_if(F.col("raw_ts").isNull()).alias("null_timestamp"), F.count_if(F.col("channel").isNull()).alias("null_channel"), F.count_if(F.col("raw_conversion").isNull()).alias("null_conversion"),
-        F.count_if(F.col("raw_ts").isNotNull() & F.col("ts").isNull()).alias("invalid_timestamp"),
-        F.count_if(F.col("ts") > shifted(reference, micros(future_tolerance))).alias("future_timestamps"),
-        F.count_if(F.col("ts") < F.lit(minimum_timestamp).cast("timestamp")).alias("impossible_timestamps"),
-        F.count_if(F.trim("channel") == "").alias("empty_channel"),
-        (F.count_if(F.col("conversion_timestamp").isNotNull() & F.col("conversion_timestamp").try_cast("timestamp").isNull()) if "conversion_timestamp" in found else empty).alias("invalid_conversion_timestamp"),
-        F.count_if(F.col("conv") & (F.col("first_exposure").isNull() | (conv_ts < F.col("first_exposure")))).alias("conversion_before_exposure"),
-        F.count_if(F.col("conv") & ~F.col("has_exposure")).alias("malformed_journeys"),
-        (F.count_if(F.col("conv") & repeated) if ids else empty).alias("repeated_conversion_ids"),
-        (F.sum(F.when(F.col("conv"), F.col("conversion_value").try_cast("double"))) if "conversion_value" in found else F.lit(None).cast("double")).alias("conversion_value"),
-    )
+    row = lambda when: F.coalesce(when, F.lit(False))
+    bad = {
+        "null_user_id": F.col("user_id").isNull(), "null_timestamp": F.col("raw_ts").isNull(), "null_channel": F.col("channel").isNull(), "null_conversion": F.col("raw_conversion").isNull(),
+        "invalid_timestamp": F.col("raw_ts").isNotNull() & F.col("ts").isNull(),
+        "future_timestamps": F.col("ts") > shifted(reference, micros(future_tolerance)),
+        "impossible_timestamps": F.col("ts") < F.lit(minimum_timestamp).cast("timestamp"),
+        "empty_channel": F.trim("channel") == "",
+        "invalid_conversion_timestamp": F.col("conversion_timestamp").isNotNull() & F.col("conversion_timestamp").try_cast("timestamp").isNull() if "conversion_timestamp" in found else None,
+        "conversion_before_exposure": F.col("conv") & (F.col("first_exposure").isNull() | (conv_ts < F.col("first_exposure"))),
+        "malformed_journeys": F.col("conv") & ~F.col("has_exposure"),
+        "repeated_conversion_ids": F.col("conv") & repeated if ids else None,
+    }
+    none = F.lit(None).cast("long")
+    value = F.sum(F.when(F.col("conv"), F.col("conversion_value").try_cast("double"))) if "conversion_value" in found else F.lit(None).cast("double")
+    # one row a user first, so that affected users are counted without a distinct aggregate for each check
+    users = frame.groupBy("user_id").agg(
+        F.count(F.lit(1)).alias("rows"), F.count_if("conv").alias("conversions"), value.alias("conversion_value"),
+        *(F.count_if(row(c)).alias(k) for k, c in bad.items() if c is not None),
+        *(F.count_if(row(c) & row(F.col("conv"))).alias(f"conversions_{k}") for k, c in bad.items() if c is not None),
+    )
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).alias(c)
+    return users.agg(
+        total("rows"), F.count("user_id").alias("users"), total("conversions"),
+        *(total(k) if c is not None else none.alias(k) for k, c in bad.items()),
+        F.sum("conversion_value").alias("conversion_value"),
+        *((F.count_if((F.col(k) > 0) & F.col("user_id").isNotNull()) if c is not None else none).alias(f"users_{k}") for k, c in bad.items()),
+        *(total(f"conversions_{k}") if c is not None else none.alias(f"conversions_{k}") for k, c in bad.items()),
+    )
 
 
 #: Severity of each finding.
@@ -90,7 +109,11 @@ def quality_findings(events: DataFrame, columns: ColumnMapping | dict | None = N
         got = quality_counts(events, columns, **options).first().asDict()
     except SchemaError as e:
         return [Finding("missing_columns", "CRITICAL", str(e), 1)]
-    out = [Finding(code, SEVERITY[code], f"{got[code]} rows: {code.replace('_', ' ')}", got[code], {"affected_users": got["users"], "rows": got["rows"]}) for code in SEVERITY if got.get(code)]
+    out = []
+    for code in SEVERITY:
+        if got.get(code):
+            affected = {"affected_rows": got[code], "affected_users": got[f"users_{code}"], "affected_conversions": got[f"conversions_{code}"], "rate": got[code] / got["rows"], "unit": "rows"}
+            out.append(Finding(code, SEVERITY[code], f"{got[code]} rows: {code.replace('_', ' ')}", got[code], affected))
     if got["conversion_value"] == 0 and got["conversions"]:
-        out.append(Finding("zero_conversion_value", "CRITICAL", "all conversion values are 0", got["conversions"]))
+        out.append(Finding("zero_conversion_value", "CRITICAL", "all conversion values are 0", got["conversions"], {"affected_conversions": got["conversions"], "unit": "conversions"}))
     return out

@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+TOP, STEP = 100_000, 3
+
+
 def order_key(seed: int, stage: str, *columns: str) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), F.lit(stage), *[F.col(c).cast("string") for c in columns]))
 
@@ -16,8 +19,29 @@ def exact_count(size: int, rate: float) -> int:
 
 
 def pick(rows: DataFrame, k: int, seed: int, stage: str, *columns: str) -> DataFrame:
-    """``k`` rows, first by hash; a distributed top-k."""
-    return rows.withColumn("__key", order_key(seed, stage, *columns)).orderBy("__key", *columns).limit(k).drop("__key")
+    """The ``k`` rows that come first by hash, and by ``columns`` on ties.
+
+    More than ``TOP`` are found by counting hash prefixes: all rows below the prefix in which the last one lies, and of
+    that prefix as many as are wanted still. So no task holds more than ``TOP`` rows in order, nor does the driver more than a level of prefixes.
+    """
+    keyed = rows.withColumn("__key", order_key(seed, stage, *columns))
+    inside, below, deep = keyed, None, 0
+    while k > TOP and deep < 32:
+        deep += STEP
+        counted = inside.groupBy(F.substring("__key", 1, deep).alias("prefix")).count().orderBy("prefix").collect()  # 16 ** STEP rows at most
+        last = None
+        for r in counted:
+            if r["count"] > k:
+                last = r["prefix"]
+                break
+            k -= r["count"]
+        taken = inside if last is None else inside.where(F.substring("__key", 1, deep) < last)
+        below = taken if below is None else below.unionByName(taken)
+        if last is None:
+            return below.drop("__key")
+        inside = inside.where(F.substring("__key", 1, deep) == last)
+    first = inside.orderBy("__key", *columns).limit(k)
+    return (first if below is None else below.unionByName(first)).drop("__key")
 
 
 def sample_users(frame: DataFrame, max_journeys: int = 100_000, stratify: bool = True, seed: int = 42) -> tuple[DataFrame, dict]:

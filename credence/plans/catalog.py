@@ -604,18 +604,44 @@ def _score(spark, sf):
     """The whole audit's checks, one row each."""
     from credence.audit import ReliabilityAudit
 
-    report = ReliabilityAudit(touch_stream(spark, sf)).run()
-    return report.to_dataframe(spark).select("check", "status", "severity", "score")
+    report = ReliabilityAudit(touch_stream(spark, sf), models=("first_touch", "last_touch", "linear", "markov")).run()
+    rows = report.to_dataframe(spark).select("check", "status", "severity", "score")
+    report.unpersist()
+    return rows
+
+
+#: Weights of the four policies (of the components that the published run has), and the edges of the three sets of bands.
+POLICIES = {
+    "default": {"data_quality": 0.20, "path_quality": 0.15, "model_agreement": 0.20},
+    "equal": {"data_quality": 1.0, "path_quality": 1.0, "model_agreement": 1.0},
+    "quality_heavy": {"data_quality": 0.50, "path_quality": 0.10, "model_agreement": 0.10},
+    "agreement_heavy": {"data_quality": 0.10, "path_quality": 0.10, "model_agreement": 0.50},
+}
+EDGES = {"default": (90, 80, 70, 60), "stricter": (95, 85, 75, 65), "looser": (85, 75, 65, 55)}
 
 
 @query(
     "score_policy",
-    "SELECT policy, ROUND(CAST(s AS DOUBLE), 6) AS score, CASE WHEN s >= 90 THEN 'Excellent' WHEN s >= 80 THEN 'Good' WHEN s >= 70 THEN 'Caution' WHEN s >= 60 THEN 'Weak' ELSE 'Fragile' END AS label FROM (VALUES ('default', (0.2 * 59.25 + 0.15 * 61.81 + 0.2 * 93.34) / 0.55), ('equal', (59.25 + 61.81 + 93.34) / 3), ('quality', (0.6 * 59.25 + 0.2 * 61.81 + 0.2 * 93.34)), ('agreement', (0.15 * 59.25 + 0.15 * 61.81 + 0.7 * 93.34))) t(policy, s)",
+    "WITH p(policy, s) AS (VALUES ('default', (0.2 * 59.25 + 0.15 * 61.81 + 0.2 * 93.34) / 0.55), ('equal', (59.25 + 61.81 + 93.34) / 3), ('quality_heavy', (0.5 * 59.25 + 0.1 * 61.81 + 0.1 * 93.34) / 0.7), ('agreement_heavy', (0.1 * 59.25 + 0.1 * 61.81 + 0.5 * 93.34) / 0.7)),"
+    " b(bands, shift) AS (VALUES ('default', 0), ('stricter', 5), ('looser', -5))"
+    " SELECT policy, bands, ROUND(CAST(s AS DOUBLE), 6) AS score, CASE WHEN s >= 90 + shift THEN 'Robust' WHEN s >= 80 + shift THEN 'Stable' WHEN s >= 70 + shift THEN 'Caution' WHEN s >= 60 + shift THEN 'Fragile' ELSE 'Highly Fragile' END AS label FROM p, b",
 )
 def _policy(spark, sf):
-    from credence.scoring import ScoringWeights, reliability_score, score_label
+    from credence.scoring import ScoreThresholds, ScoringWeights, reliability_score, score_label
 
     scores = {"data_quality": 59.25, "path_sparsity": 61.81, "model_disagreement": 93.34}
-    policies = {"default": ScoringWeights(), "equal": ScoringWeights(1, 1, 1, 1, 1, 1), "quality": ScoringWeights(0.6, 0, 0, 0.2, 0.2, 0), "agreement": ScoringWeights(0.15, 0, 0, 0.15, 0.7, 0)}
-    rows = [(k, reliability_score(scores, w)) for k, w in policies.items()]
-    return spark.createDataFrame([(k, s, score_label(s)) for k, s in rows], "policy string, score double, label string")
+    rest = {"window_stability": 0.0, "identity_robustness": 0.0, "temporal_stability": 0.0}
+    rows = [(k, reliability_score(scores, ScoringWeights.of(rest | w))) for k, w in POLICIES.items()]
+    listed = [(k, b, s, score_label(s, ScoreThresholds(*e))) for k, s in rows for b, e in EDGES.items()]
+    return spark.createDataFrame(listed, "policy string, bands string, score double, label string").withColumn("score", F.round("score", 6))
+
+
+@query(
+    "dq_affected",
+    DQ_BASE + """, x AS (SELECT *, MIN(CASE WHEN NOT conversion THEN ts END) OVER (PARTITION BY user_id) AS fe, MAX(CASE WHEN NOT conversion THEN 1 ELSE 0 END) OVER (PARTITION BY user_id) = 1 AND user_id IS NOT NULL AS he FROM t)
+ SELECT COUNT(DISTINCT user_id) FILTER (raw IS NOT NULL AND ts IS NULL) AS users_invalid_timestamp, COUNT(DISTINCT user_id) FILTER (TRIM(channel) = '') AS users_empty_channel, COUNT(DISTINCT user_id) FILTER (conversion AND NOT he) AS users_malformed_journeys,
+ COUNT(DISTINCT user_id) FILTER (conversion AND (fe IS NULL OR ts < fe)) AS users_conversion_before_exposure, COUNT(*) FILTER (conversion AND TRIM(channel) = '') AS conversions_empty_channel FROM x""",
+)
+def _dq_affected(spark, sf):
+    """How many users and conversions each kind of bad row touches."""
+    return quality.quality_counts(_damaged(spark, sf)).select("users_invalid_timestamp", "users_empty_channel", "users_malformed_journeys", "users_conversion_before_exposure", "conversions_empty_channel")

@@ -80,6 +80,26 @@ STRESS = {
 }
 
 
+#: What a ``*`` is drawn from, and what each scenario is for and expected to show.
+MINOR = ("display", "social", "email")
+PURPOSE = {
+    "stable_dominant": "One channel leads under every model.",
+    "window_sensitive": "Long gaps between touches make credit depend on the window.",
+    "identity_fragmentation": "Long journeys, whose credit moves when ids are split.",
+    "duplicate_contamination": "Exact copies of one channel's touches should be found.",
+    "model_disagreement": "Models favour different places in the journey.",
+    "noise_without_decision_change": "Noise in minor channels should not unseat the leader.",
+}
+EXPECTED = {
+    "stable_dominant": ("robust leader", "high agreement of models"),
+    "window_sensitive": ("shares move with the window", "low window stability"),
+    "identity_fragmentation": ("share drift under identity loss",),
+    "duplicate_contamination": ("finding of duplicates", "lower data quality", "shares move after removing copies"),
+    "model_disagreement": ("low agreement of models", "ranks that move"),
+    "noise_without_decision_change": ("some movement of measures", "robust leader"),
+}
+
+
 def stress_scenario(spark: SparkSession, name: str, seed: int = 42) -> DataFrame:
     """One of six deterministic data sets with a known weakness."""
     if name not in STRESS:
@@ -88,7 +108,7 @@ def stress_scenario(spark: SparkSession, name: str, seed: int = 42) -> DataFrame
     rng, rows, user = np.random.default_rng(seed), [], 0
     for path, won, users in listed:
         for _ in range(users):
-            touches = [f"minor{rng.integers(4)}" if c == "*" else c for c in path.split(",")]
+            touches = [str(rng.choice(MINOR)) if c == "*" else c for c in path.split(",")]
             end = pd.Timestamp("2026-01-01") + pd.Timedelta(days=int(user % 35 + len(touches) * gap))
             for i, c in enumerate(touches):
                 last = won and i == len(touches) - 1

@@ -12,7 +12,7 @@ from credence.functions.durations import micros, positive
 from credence.operators import attribution as att
 from credence.operators import audits, corruption, duplicates, journeys, quality, robustness, sampling
 from credence.schema import ColumnMapping, SchemaError, canonical, validate_events
-from credence.scoring import ScoringWeights, reliability_score, score_label
+from credence.scoring import ScoreThresholds, ScoringWeights, combine_scores, grade, reliability_score, score_label
 from credence.sources import adapters, generators
 
 DAY0 = datetime(2026, 1, 1)
@@ -25,41 +25,62 @@ def events(spark, rows):
 
 
 @pytest.fixture(scope="module")
-def basic(spark):
-    return events(spark, [("a", 0, "email", 0, 0), ("a", 1, "email", 0, 0), ("a", 2, "direct", 1, 30), ("b", 0, "social", 0, 0), ("b", 1, "direct", 1, 10)])
+def few(spark):
+    """m: tv, web, shop worth 24; n: web twice, worth 6; o: tv, nothing."""
+    return events(spark, [("m", 0, "tv", 0), ("m", 2, "web", 0), ("m", 5, "shop", 1, 24), ("n", 0, "web", 0), ("n", 1, "web", 1, 6), ("o", 3, "tv", 0)])
 
 
 def table(df, key="channel", *values):
     return {r[key]: tuple(r[v] for v in values) if len(values) > 1 else r[values[0]] for r in df.collect()}
 
 
-def test_rule_models(spark, basic):
-    j = journeys.build_journeys(basic)
-    first = table(att.attribute(j, "first_touch"), "channel", "attribution_credit", "conversions")
-    assert first["email"] == (30.0, 1.0) and first["social"][1] == 1.0
-    last = table(att.attribute(j, "Last Touch"), "channel", "attribution_credit", "share")
-    assert last == {"direct": (40.0, 1.0)}
-    linear = table(att.attribute(j, "linear"), "channel", "attribution_credit", "share")
-    assert linear["email"][0] == pytest.approx(20) and linear["direct"][0] == pytest.approx(15)
-    assert sum(s for _, s in linear.values()) == pytest.approx(1)
+def test_rule_models(spark, few):
+    j = journeys.build_journeys(few)
+    assert table(att.attribute(j, "first_touch"), "channel", "attribution_credit", "conversions") == {"tv": (24, 1), "web": (6, 1)}
+    assert table(att.attribute(j, "Last Touch"), "channel", "attribution_credit", "share") == {"shop": (24, 0.8), "web": (6, 0.2)}
+    linear = table(att.attribute(j, "linear"), "channel", "attribution_credit", "share", "conversions")
+    assert linear["tv"] == pytest.approx((8, 8 / 30, 1 / 3)) and linear["web"] == pytest.approx((14, 14 / 30, 4 / 3)) and linear["shop"] == pytest.approx((8, 8 / 30, 1 / 3))
     with pytest.raises(att.AttributionError):
         att.attribute(j, "nonsense")
 
 
-def test_markov(spark):
-    e = events(spark, [("1", 0, "A", 1), ("2", 0, "A", 0), ("2", 1, "B", 1), ("3", 0, "B", 0)])
-    j = journeys.build_journeys(e)
+def test_all_models_in_one_pass_are_each_model(spark, few):
+    j = journeys.build_journeys(few.unionByName(generators.stress_scenario(spark, "model_disagreement").drop("x")))
+    names = ["first_touch", "last_touch", "linear", "markov"]
+    together = {(r["model"], r["channel"]): (r["attribution_credit"], r["share"], r["conversions"]) for r in att.attribute_all(j, names).collect()}
+    alone = {(m, r["channel"]): (r["attribution_credit"], r["share"], r["conversions"]) for m in names for r in att.attribute(j, m).collect()}
+    assert set(together) == set(alone) and all(together[k] == pytest.approx(alone[k]) for k in alone)
+
+
+def test_markov(spark, few):
+    """By hand: web and shop always convert, tv half of the time, so 2/3 of all journeys do."""
+    j = journeys.build_journeys(few)
     p = {(r["src"], r["dst"]): r["prob"] for r in att.transitions(j).collect()}
-    assert p["START", "A"] == pytest.approx(2 / 3) and p["A", "B"] == pytest.approx(1 / 2) and p["B", "NULL"] == pytest.approx(1 / 2)
-    got = table(att.markov_effects(j), "channel", "baseline", "without", "effect", "share")
-    assert got["A"] == pytest.approx((2 / 3, 1 / 2, 1 / 4, 1)) and got["B"][2:] == pytest.approx((0, 0))
-    redirect = table(att.markov_effects(j, strategy="redirect_to_null"), "channel", "without", "effect")
-    assert redirect["A"] == pytest.approx((1 / 6, 3 / 4)) and redirect["B"] == pytest.approx((1 / 3, 1 / 2))
-    assert sum(table(att.markov(j), "channel", "attribution_credit").values()) == pytest.approx(2)
+    assert p["START", "tv"] == pytest.approx(2 / 3) and p["tv", "NULL"] == pytest.approx(1 / 2) and p["web", "shop"] == p["web", "web"] == p["web", "CONVERSION"] == pytest.approx(1 / 3)
+    reconnect = table(att.markov_effects(j), "channel", "baseline", "without", "effect", "share")
+    assert reconnect["tv"] == pytest.approx((2 / 3, 1, 0, 0)) and reconnect["web"] == pytest.approx((2 / 3, 0, 1, 1)) and reconnect["shop"] == pytest.approx((2 / 3, 2 / 3, 0, 0))
+    redirect = table(att.markov_effects(j, strategy="redirect_to_null"), "channel", "without", "effect", "share")
+    assert redirect["tv"] == pytest.approx((1 / 3, 1 / 2, 1 / 4)) and redirect["web"] == pytest.approx((0, 1, 1 / 2)) and redirect["shop"] == pytest.approx((1 / 3, 1 / 2, 1 / 4))
+    assert table(att.markov(j), "channel", "attribution_credit") == pytest.approx({"tv": 0, "web": 30, "shop": 0})
+
+
+def test_redirected_removals_are_those_of_single_solves():
+    rng = np.random.default_rng(3)
+    for _ in range(10):
+        names = [f"c{i}" for i in range(6)]
+        rows = [(s, d, w) for s in ["START", *names] for d, w in zip([*names, "CONVERSION", "NULL"], rng.dirichlet(np.ones(8)), strict=True) if s != "START" or d in names]
+        edges = pd.DataFrame(rows, columns=["src", "dst", "prob"])
+        edges["prob"] /= edges.groupby("src")["prob"].transform("sum")
+        for r in att.solve_chain(edges, "redirect_to_null").itertuples():
+            cut = edges[(edges["src"] != r.channel)].copy()
+            cut.loc[cut["dst"] == r.channel, "dst"] = "dead"
+            cut = pd.concat([cut, pd.DataFrame([("dead", "NULL", 1.0)], columns=cut.columns)])
+            cut = cut.groupby(["src", "dst"], as_index=False)["prob"].sum()
+            assert r.without == pytest.approx(att.solve_chain(cut)["baseline"].iloc[0])
 
 
 def test_markov_rejects_state_names(spark):
-    with pytest.raises(att.AttributionError):
+    with pytest.raises(Exception, match="name of a state"):
         att.markov(journeys.build_journeys(events(spark, [("a", 0, "START", 0), ("a", 1, "x", 1), ("b", 0, "NULL", 0), ("b", 1, "x", 0)]))).collect()
 
 
@@ -201,7 +222,7 @@ def test_rank_reversal_is_not_robust(spark):
     assert got["a"][0] == 0.5 and got["a"][1] != "Robust"
 
 
-def test_bootstrap_is_stable_and_centred(spark, basic):
+def test_bootstrap_is_stable_and_centred(spark, few):
     j = journeys.build_journeys(generators.stress_scenario(spark, "stable_dominant"))
     config = robustness.BootstrapConfig(n_iterations=40)
     a = robustness.bootstrap_draws(j, ["linear"], config).orderBy("iteration", "channel").collect()
@@ -212,12 +233,20 @@ def test_bootstrap_is_stable_and_centred(spark, basic):
     assert stats["search"][0] == pytest.approx(true["search"], abs=0.03) and stats["search"][1] == 1
     with pytest.raises(ValueError):
         robustness.BootstrapConfig(n_iterations=2)
-    assert not robustness.enough_for_bootstrap(journeys.build_journeys(basic), config)
+    assert not robustness.enough_for_bootstrap(journeys.build_journeys(few.where("user_id = 'n'")), config)
 
 
 def test_scores():
     assert reliability_score({"data_quality": 50.0, "duplicates": 100.0, "model_disagreement": 50.0}, ScoringWeights()) == pytest.approx(62.5)
-    assert reliability_score({}) is None and score_label(95) == "Excellent" and score_label(59) == "Fragile"
+    assert reliability_score({}) is None and [score_label(x) for x in (95, 90, 80, 70, 60, 59, None)] == ["Robust", "Robust", "Stable", "Caution", "Fragile", "Highly Fragile", "Insufficient Evidence"]
+    assert score_label(92, ScoreThresholds(95, 85, 75, 65)) == "Stable" and [grade(x) for x in (91, 81, 71, 61, 1, None)] == ["A", "B", "C", "D", "F", "N/A"]
+    assert reliability_score({"data_quality": 50.0, "model_disagreement": 80.0}, {"data_quality": 1, "model_agreement": 3}) == pytest.approx(72.5)
+    assert combine_scores([]) == 100 and combine_scores([50, 60]) == 55
+    for wrong in ({"no_such": 1}, {"data_quality": True}):
+        with pytest.raises(ValueError):
+            ScoringWeights.of(wrong)
+    with pytest.raises(ValueError):
+        ScoreThresholds(80, 90, 70, 60)
     with pytest.raises(ValueError):
         ScoringWeights(data_quality=-1)
 
@@ -234,6 +263,46 @@ def test_audit_report(spark, name):
     assert report.to_dataframe(spark).count() >= len(report.results)
 
 
+def test_audit_runs_the_checks_that_are_asked_for(spark):
+    audit = ReliabilityAudit(generators.stress_scenario(spark, "stable_dominant"))
+    report = audit.run(checks=["Sparsity", "data_quality", "identity loss"])
+    assert [r.check for r in report.results] == ["data_quality", "path_sparsity", "identity_loss"]
+    report.unpersist()
+    with pytest.raises(ValueError):
+        audit.run(checks=["no such check"])
+
+
+def test_pick_of_many_is_the_first_by_hash(spark, monkeypatch):
+    rows = spark.range(5000).withColumn("g", F.col("id") % 700)
+    for k in (0, 1, 40, 4999, 5000, 6000):
+        want = sorted(map(tuple, sampling.pick(rows, k, 5, "s", "g", "id").collect()))
+        few_distinct = sorted(r["g"] for r in sampling.pick(rows, k, 5, "s", "g").collect())
+        with monkeypatch.context() as m:
+            m.setattr(sampling, "TOP", 30)
+            assert sorted(map(tuple, sampling.pick(rows, k, 5, "s", "g", "id").collect())) == want and len(want) == min(k, 5000)
+            assert sorted(r["g"] for r in sampling.pick(rows, k, 5, "s", "g").collect()) == few_distinct
+
+
+def test_quality_counts_affected_users(spark):
+    bad = events(spark, [("a", 0, " ", 0), ("a", 1, " ", 0), ("b", 0, "x", 0), ("b", 1, "", 1), ("c", 0, "x", 1)]).withColumn("conversion_id", F.when(F.col("user_id") != "a", F.lit("k")))
+    found = {f.code: f for f in quality.quality_findings(bad)}
+    assert found["empty_channel"].details == {"affected_rows": 3, "affected_users": 2, "affected_conversions": 1, "rate": 3 / 5, "unit": "rows"}
+    assert found["malformed_journeys"].details["affected_users"] == 1 and found["repeated_conversion_ids"].count == 2
+
+
+def test_stress_scenarios_are_described(spark):
+    assert set(generators.STRESS) == set(generators.PURPOSE) == set(generators.EXPECTED)
+    noise = generators.stress_scenario(spark, "noise_without_decision_change")
+    assert {r["channel"] for r in noise.select("channel").distinct().collect()} == {"search", *generators.MINOR}
+
+
+def test_timestamp_noise_moves_exposures_within_its_bound(spark):
+    e = generators.stress_scenario(spark, "stable_dominant")
+    out = corruption.corrupt(e, timestamp_noise="2h", random_state=3).frame
+    moved = out.select("row_id", F.unix_micros("timestamp").alias("t")).join(e.select("row_id", F.unix_micros("timestamp").alias("o")), "row_id").select(F.abs(F.col("t") - F.col("o")).alias("d")).agg(F.max("d"), F.min("d"), F.count(F.lit(1))).first()
+    assert 0 < moved[0] <= 2 * 3600 * 1_000_000 and moved[2] == e.count()
+
+
 def test_generators_do_not_depend_on_partitions(spark):
     a = sorted(map(tuple, generators.simulate_touch_sequences(spark, 40).drop("row_id").collect()))
     spark.conf.set("spark.default.parallelism", "3")
