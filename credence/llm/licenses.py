@@ -326,8 +326,20 @@ def spans(line: Column, pattern: Column) -> Column:
 
 
 def _gates(listed: list[Rule]) -> list[str]:
-    """Runs of which every match of any rule holds one: ``licen`` where a rule has it for certain, its keyword otherwise."""
-    return sorted({"licen" if any("licen" in x for x in literals(r.pattern)) else r.keyword.replace(" ", "  ") for r in listed})
+    """Few runs of characters of which every match of any rule holds one: words of the rules' plain parts, those that serve most rules first."""
+    holds: dict[str, set[int]] = {}
+    for i, r in enumerate(listed):
+        plain = literals(r.pattern)
+        words = {w for x in plain for w in x.split() if len(w) >= 5} | ({"licen"} if any("licen" in x for x in plain) else set())
+        pairs = {"  ".join(x.split()[k : k + 2]) for x in plain for k in range(len(x.split()) - 1)}
+        for w in words or pairs or {r.keyword.replace(" ", "  ")}:
+            holds.setdefault(w, set()).add(i)
+    out, left = [], set(range(len(listed)))
+    while left:
+        best = min(holds, key=lambda w: (-len(holds[w] & left), w))
+        out.append(best)
+        left -= holds[best]
+    return out
 
 
 def surviving(hits: Column) -> Column:
