@@ -111,7 +111,7 @@ class WordEncoder:
         fresh, split, rest = {False: set(), True: set()}, [], []
         for part in new:
             stem = part.rstrip(string.punctuation)
-            if stem.isalpha() and len(stem) < 200 and self._all_letters(stem):
+            if stem.isalpha() and len(stem) < 200 and (stem.isascii() or self._all_letters(stem)):
                 split.append((part, stem))
                 if stem not in stems:
                     fresh[stem.isascii() or max(stem) <= "\xff"].add(stem)
