@@ -29,9 +29,10 @@ def resolve_path(path: str | None, variable: str, names: list[str]) -> str:
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:
     """Parquet, CSV or TSV by the file's ending."""
-    if ".parquet" in path:
+    name = path.rstrip("/").lower().removesuffix(".gz")
+    if name.endswith(".parquet"):
         return spark.read.parquet(path)
-    return spark.read.csv(path, header=True, inferSchema=True, sep="\t" if ".tsv" in path else ",")
+    return spark.read.csv(path, header=True, inferSchema=True, sep="\t" if name.endswith(".tsv") else ",")
 
 
 def _need(df: DataFrame, names) -> None:
