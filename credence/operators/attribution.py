@@ -37,14 +37,20 @@ def credit(journeys: DataFrame, weight: Column, by: list[str] | None = None) ->
     return summed.select(*by, "channel", "attribution_credit", share(F.col("attribution_credit"), total).alias("share"), "conversions")
 
 
-def transitions(journeys: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """Edges of the chain of all journeys: src, dst, cnt, prob."""
+def steps(journeys: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """One row a step of each journey, START and the absorbing end included: user_id, seg, src, dst."""
     by = by or []
     order = Window.partitionBy(*by, "user_id", "seg").orderBy("pos")
     end = F.when(F.col("converted"), F.lit(CONVERSION)).otherwise(F.lit(NULL))
-    steps = journeys.select(*by, F.col("channel").alias("src"), F.coalesce(F.lead("channel").over(order), end).alias("dst"), "pos")
-    first = steps.where("pos = 1").select(*by, F.lit(START).alias("src"), F.col("src").alias("dst"))
-    counted = steps.select(*by, "src", "dst").unionByName(first).groupBy(*by, "src", "dst").agg(F.count(F.lit(1)).alias("cnt"))
+    after = journeys.select(*by, "user_id", "seg", F.col("channel").alias("src"), F.coalesce(F.lead("channel").over(order), end).alias("dst"), "pos")
+    first = after.where("pos = 1").select(*by, "user_id", "seg", F.lit(START).alias("src"), F.col("src").alias("dst"))
+    return after.drop("pos").unionByName(first)
+
+
+def transitions(journeys: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Edges of the chain of all journeys: src, dst, cnt, prob."""
+    by = by or []
+    counted = steps(journeys, by).groupBy(*by, "src", "dst").agg(F.count(F.lit(1)).alias("cnt"))
     return counted.withColumn("prob", F.col("cnt") / F.sum("cnt").over(Window.partitionBy(*by, "src")))
 
 
@@ -119,7 +125,11 @@ def markov_effects(journeys: DataFrame, by: list[str] | None = None, strategy: s
     by = by or []
     if max_channels:
         journeys = collapse(journeys, max_channels)
-    edges = transitions(journeys, by)
+    return chain_effects(transitions(journeys, by), by, strategy)
+
+
+def chain_effects(edges: DataFrame, by: list[str], strategy: str = "reconnect") -> DataFrame:
+    """The effects of edges that are counted already."""
     keys = by or ["__all"]
     edges = edges if by else edges.withColumn("__all", F.lit(0))
     kinds = ", ".join(f"{k} {dict(edges.dtypes)[k]}" for k in keys)

@@ -14,10 +14,11 @@ from credence.operators.journeys import build_journeys, paths
 
 
 def scenario_grid(credits: DataFrame, scenario: str = "scenario") -> DataFrame:
-    """Every (scenario, channel), with 0 where a channel has no credit, and ranks (missing ones come last together)."""
+    """Every (scenario, channel), with 0 where a channel has no credit. Ranks are among a scenario's own channels; one that is absent there comes after all channels."""
     every = credits.select(scenario).distinct().join(credits.select("channel").distinct())
-    filled = every.join(credits, [scenario, "channel"], "left").fillna(0.0, ["attribution_credit", "share"])
-    return filled.withColumn("rank", F.rank().over(Window.partitionBy(scenario).orderBy(F.round("attribution_credit", 9).desc())))
+    own = credits.select(scenario, "channel", "attribution_credit", "share", F.rank().over(Window.partitionBy(scenario).orderBy(F.round("attribution_credit", 9).desc())).alias("rank"))
+    filled = every.join(own, [scenario, "channel"], "left").fillna(0.0, ["attribution_credit", "share"])
+    return filled.withColumn("rank", F.coalesce("rank", F.count(F.lit(1)).over(Window.partitionBy(scenario)) + 1))
 
 
 def window_credits(frame: DataFrame, windows: Iterable = (7, 14, 30), model: str = "linear", lookback="30D") -> DataFrame:
@@ -39,14 +40,28 @@ def window_comparison(credits: DataFrame) -> DataFrame:
     )
 
 
-def rank_correlations(credits: DataFrame, scenario: str = "scenario") -> DataFrame:
-    """Spearman correlation of each pair of scenarios."""
-    g = scenario_grid(credits, scenario).select(scenario, "channel", F.round("attribution_credit", 9).alias("x"))
-    g = g.withColumn("r", average_rank(F.col("x"), [scenario]))
-    a, b = g.select(F.col(scenario).alias("a"), "channel", F.col("r").alias("ra")), g.select(F.col(scenario).alias("b"), "channel", F.col("r").alias("rb"))
+def _correlated(ranked: DataFrame, scenario: str) -> DataFrame:
+    a, b = ranked.select(F.col(scenario).alias("a"), "channel", F.col("r").alias("ra")), ranked.select(F.col(scenario).alias("b"), "channel", F.col("r").alias("rb"))
     return a.join(b, "channel").where("a < b").groupBy("a", "b").agg(pearson("ra", "rb").alias("spearman"))
 
 
+def rank_correlations(credits: DataFrame, scenario: str = "scenario") -> DataFrame:
+    """Correlation of the ranks of each pair of windows; absent channels come last."""
+    return _correlated(scenario_grid(credits, scenario).withColumn("r", F.col("rank").cast("double")), scenario)
+
+
+def share_ranks(credits: DataFrame, scenario: str = "scenario") -> DataFrame:
+    """Every (scenario, channel) with its share, 0 where absent, and the rank of that share; ties share their mean rank ``r``."""
+    every = credits.select(scenario).distinct().join(credits.select("channel").distinct())
+    filled = every.join(credits.select(scenario, "channel", "share"), [scenario, "channel"], "left").fillna(0.0, ["share"]).withColumn("x", -F.round("share", 12))
+    return filled.withColumn("r", average_rank(F.col("x"), [scenario])).drop("x")
+
+
+def period_correlations(credits: DataFrame, scenario: str = "scenario") -> DataFrame:
+    """Spearman correlation of the shares of each pair of periods."""
+    return _correlated(share_ranks(credits, scenario), scenario)
+
+
 def contamination_users(frame: DataFrame, short_window=7, reference_window=30) -> DataFrame:
     """Each user's class by the delay from first event to first conversion."""
     short, reference = positive(short_window), positive(reference_window)
@@ -94,12 +109,12 @@ def exposure_mix_distance(frame: DataFrame, column: str = "channel") -> DataFram
 
 
 def exposure_comparison(frame: DataFrame) -> dict:
-    """The figures of the exposure audit, from three small results."""
-    stats = {r["converted"]: r for r in exposure_stats(frame).collect()}
+    """The figures of the exposure audit, from small results. A group without users has no touches and an empty mix."""
+    stats = {r["converted"]: r.asDict() for r in exposure_stats(frame).collect()}
     won, lost = stats.get(True), stats.get(False)
-    ratio = won["mean_touches"] / lost["mean_touches"] if won and lost and lost["mean_touches"] else None
-    tv = exposure_mix_distance(frame).first()["distance"] or 0.0 if won and lost else 0.0
-    return {"ratio": ratio, "channel_distance": tv, "stats": stats}
+    ratio = (won["mean_touches"] if won else 0.0) / lost["mean_touches"] if lost and lost["mean_touches"] else None
+    campaigns = exposure_mix_distance(frame, "campaign_id").first()["distance"] if "campaign_id" in frame.columns else None
+    return {"ratio": ratio, "channel_distance": exposure_mix_distance(frame).first()["distance"] or 0.0, "campaign_distance": campaigns, "converters": won, "non_converters": lost}
 
 
 def model_disagreement(credits: DataFrame) -> DataFrame:
@@ -170,7 +185,7 @@ def period_credits(journeys: DataFrame, model: str = "linear", period: str = "W"
 
 
 def period_ranges(credits: DataFrame) -> DataFrame:
-    return scenario_grid(credits).groupBy("channel").agg((F.max("share") - F.min("share")).alias("share_range"), (F.max("rank") - F.min("rank")).cast("long").alias("rank_range"))
+    return share_ranks(credits).groupBy("channel").agg((F.max("share") - F.min("share")).alias("share_range"), (F.max("r") - F.min("r")).alias("rank_range"))
 
 
 def transition_similarity(edges: DataFrame) -> DataFrame:

@@ -44,15 +44,17 @@ def lose_rows(frame: DataFrame, eligible, rate: float, seed: int, stage: str) ->
     return frame.join(gone, "row_id", "left_anti")
 
 
-def corrupt(frame: DataFrame, *, identity_loss: float = 0.0, touchpoint_loss: float = 0.0, impression_loss: float = 0.0, click_loss: float = 0.0, conversion_delay_shift=None, missing_channel_rate: float = 0.0, timestamp_noise=None, duplicate_rate: float = 0.0, duplicate_kind: str = "exact", random_state: int = 42) -> CorruptedFrame:
-    """``frame`` is canonical. Conversions are never lost. Stages apply in the order of the arguments."""
+def corrupt(frame: DataFrame, *, identity_loss: float = 0.0, touchpoint_loss: float = 0.0, impression_loss: float = 0.0, click_loss: float = 0.0, conversion_delay_shift=None, missing_channel_rate: float = 0.0, timestamp_noise=None, duplicate_rate: float = 0.0, duplicate_kind: str = "exact", event_type_col: str | None = None, random_state: int = 42) -> CorruptedFrame:
+    """``frame`` is canonical. ``event_type_col`` names the column that says which rows are impressions and clicks, in place of flag columns. Conversions are never lost. Stages apply in the order of the arguments."""
     rates = {"identity_loss": identity_loss, "touchpoint_loss": touchpoint_loss, "impression_loss": impression_loss, "click_loss": click_loss, "missing_channel_rate": missing_channel_rate, "duplicate_rate": duplicate_rate}
     rates = {k: _rate(k, v) for k, v in rates.items()}
     if duplicate_kind not in ("exact", "near"):
         raise ValueError("duplicate_kind is exact or near")
+    if event_type_col is not None and event_type_col not in frame.columns:
+        raise ValueError(f"no column {event_type_col}")
     for k in ("impression", "click"):
-        if rates[f"{k}_loss"] and k not in frame.columns:
-            raise ValueError(f"{k}_loss needs a column {k}")
+        if rates[f"{k}_loss"] and event_type_col is None and k not in frame.columns:
+            raise ValueError(f"{k}_loss needs a column {k} or event_type_col")
     seed, out, counts = random_state, frame, {"input": frame.count()}
     if rates["identity_loss"]:
         out = lose_identity(out, rates["identity_loss"], seed)
@@ -60,7 +62,8 @@ def corrupt(frame: DataFrame, *, identity_loss: float = 0.0, touchpoint_loss: fl
         out = lose_rows(out, F.lit(True), rates["touchpoint_loss"], seed, "touchpoint")
     for k in ("impression", "click"):
         if rates[f"{k}_loss"]:
-            out = lose_rows(out, F.coalesce(F.col(k).cast("boolean"), F.lit(False)), rates[f"{k}_loss"], seed, k)
+            kind = F.lower(F.trim(F.col(event_type_col).cast("string"))) == k if event_type_col else F.col(k).cast("boolean")
+            out = lose_rows(out, F.coalesce(kind, F.lit(False)), rates[f"{k}_loss"], seed, k)
     if conversion_delay_shift is not None:
         out = out.withColumn("timestamp", F.when(F.col("conversion"), shifted(F.col("timestamp"), micros(conversion_delay_shift))).otherwise(F.col("timestamp")))
     if rates["missing_channel_rate"]:

@@ -23,6 +23,9 @@ class Finding:
     message: str
     count: int = 0
     details: dict = field(default_factory=dict)
+    metric_name: str | None = None
+    value: float | None = None
+    recommendation: str | None = None
 
 
 def deductions(findings: list[Finding]) -> dict[str, float]:

@@ -331,8 +331,9 @@ def _concentration(spark, sf):
 
 WINDOWS = (7, 14, 30)
 WC = f"WITH {EV}, " + ", ".join(journeys_sql(30, w, tag=str(w)) for w in WINDOWS) + ", wc AS (" + " UNION ALL ".join(f"SELECT {w * 86_400_000_000} AS scenario, channel, attribution_credit, share FROM {credit_sql('linear', f'j{w}')}" for w in WINDOWS) + ")"
-GRID = """g AS (SELECT a.scenario, b.channel, COALESCE(w.attribution_credit, 0.0) AS credit, COALESCE(w.share, 0.0) AS share, RANK() OVER (PARTITION BY a.scenario ORDER BY ROUND(COALESCE(w.attribution_credit, 0.0), 9) DESC) AS rk
- FROM (SELECT DISTINCT scenario FROM wc) a CROSS JOIN (SELECT DISTINCT channel FROM wc) b LEFT JOIN wc w ON w.scenario = a.scenario AND w.channel = b.channel)"""
+OWN = "own AS (SELECT *, RANK() OVER (PARTITION BY scenario ORDER BY ROUND(attribution_credit, 9) DESC) AS rk FROM wc)"
+GRID = OWN + """, g AS (SELECT a.scenario, b.channel, COALESCE(w.attribution_credit, 0.0) AS credit, COALESCE(w.share, 0.0) AS share, COALESCE(w.rk, 1 + COUNT(*) OVER (PARTITION BY a.scenario)) AS rk
+ FROM (SELECT DISTINCT scenario FROM wc) a CROSS JOIN (SELECT DISTINCT channel FROM wc) b LEFT JOIN own w ON w.scenario = a.scenario AND w.channel = b.channel)"""
 
 
 @query(
@@ -349,7 +350,7 @@ SPEARMAN = """av AS (SELECT *, RANK() OVER (PARTITION BY {s} ORDER BY x) + (COUN
 RHO = "CASE WHEN STDDEV_POP(ra) < 1e-12 OR STDDEV_POP(rb) < 1e-12 THEN (CASE WHEN MAX(ABS(ra - rb)) < 1e-12 THEN 1.0 ELSE 0.0 END) ELSE COVAR_POP(ra, rb) / (STDDEV_POP(ra) * STDDEV_POP(rb)) END"
 
 
-@query("window_rank_corr", f"{WC}, {GRID}, gx AS (SELECT *, ROUND(credit, 9) AS x FROM g), {SPEARMAN.format(s='scenario', g='gx')} SELECT a, b, {r(RHO, 'spearman')} FROM pr GROUP BY a, b")
+@query("window_rank_corr", f"{WC}, {GRID}, pr AS (SELECT l.scenario AS a, r.scenario AS b, l.rk AS ra, r.rk AS rb FROM g l JOIN g r ON l.channel = r.channel AND l.scenario < r.scenario) SELECT a, b, {r(RHO, 'spearman')} FROM pr GROUP BY a, b")
 def _window_corr(spark, sf):
     return audits.rank_correlations(audits.window_credits(touch_stream(spark, sf), WINDOWS))
 
@@ -409,14 +410,19 @@ def _temporal_shares(spark, sf):
     return audits.period_credits(_j(spark, sf))
 
 
-@query(
-    "temporal_ranges",
-    f"WITH {J}, {PER}, wc AS (SELECT * FROM {credit_sql('linear', 'per', 'scenario')}), {GRID} SELECT channel, {r('MAX(share) - MIN(share)', 'share_range')}, CAST(MAX(rk) - MIN(rk) AS BIGINT) AS rank_range FROM g GROUP BY channel",
-)
+PERIOD_RANKS = f"WITH {J}, {PER}, wc AS (SELECT * FROM {credit_sql('linear', 'per', 'scenario')}), {GRID}, gx AS (SELECT *, -ROUND(share, 12) AS x FROM g), " + SPEARMAN.format(s="scenario", g="gx")
+
+
+@query("temporal_ranges", f"{PERIOD_RANKS} SELECT channel, {r('MAX(share) - MIN(share)', 'share_range')}, {r('MAX(r) - MIN(r)', 'rank_range')} FROM av GROUP BY channel")
 def _temporal_ranges(spark, sf):
     return audits.period_ranges(audits.period_credits(_j(spark, sf)))
 
 
+@query("temporal_rank_corr", f"{PERIOD_RANKS} SELECT a, b, {r(RHO, 'spearman')} FROM pr GROUP BY a, b")
+def _temporal_rank_corr(spark, sf):
+    return audits.period_correlations(audits.period_credits(_j(spark, sf)))
+
+
 @query(
     "temporal_transition_similarity",
     f"""WITH {J}, {PER}, {edges_sql('per', 'scenario')}, st AS (SELECT DISTINCT scenario, UNNEST([src, dst]) AS s FROM edges), sc AS (SELECT DISTINCT scenario FROM edges), pairs AS (SELECT x.scenario AS a, y.scenario AS b FROM sc x, sc y WHERE x.scenario < y.scenario),

@@ -233,7 +233,8 @@ def test_bootstrap_is_stable_and_centred(spark, few):
     assert stats["search"][0] == pytest.approx(true["search"], abs=0.03) and stats["search"][1] == 1
     with pytest.raises(ValueError):
         robustness.BootstrapConfig(n_iterations=2)
-    assert not robustness.enough_for_bootstrap(journeys.build_journeys(few.where("user_id = 'n'")), config)
+    nothing = robustness.bootstrap(journeys.build_journeys(few.where("user_id = 'n'")), ["linear"], config)
+    assert not nothing.evaluated and "converted" in nothing.reason and nothing.draws is None
 
 
 def test_scores():
