@@ -151,6 +151,15 @@ class AuditReport:
     def to_json(self, indent: int | None = 2, include_bootstrap_draws: bool = False) -> str:
         return json.dumps(self.to_dict(include_bootstrap_draws), indent=indent, allow_nan=False)
 
+    def save(self, folder: str) -> None:
+        """findings, attribution, sensitivity and robustness as CSV, and the report as JSON, below a folder that Spark can write."""
+        spark = self.attribution.sparkSession
+        tables = {"findings": self.to_dataframe(spark), "attribution": self.attribution, "sensitivity": self.sensitivity, "robustness": self.robustness}
+        for name, table in tables.items():
+            if table is not None:
+                table.coalesce(1).write.mode("overwrite").csv(f"{folder}/{name}", header=True)  # a row a finding, or a channel and scenario
+        spark.createDataFrame([(self.to_json(None),)], "value string").coalesce(1).write.mode("overwrite").text(f"{folder}/report")
+
     def sensitivity_matrix(self, metric: str = "rank") -> DataFrame | None:
         """Channels by scenario."""
         if metric not in ("rank", "share"):

@@ -651,3 +651,61 @@ def _policy(spark, sf):
 def _dq_affected(spark, sf):
     """How many users and conversions each kind of bad row touches."""
     return quality.quality_counts(_damaged(spark, sf)).select("users_invalid_timestamp", "users_empty_channel", "users_malformed_journeys", "users_conversion_before_exposure", "conversions_empty_channel")
+
+
+# --- more layouts, damage and agreement
+
+
+@query("adapter_sequence", f"WITH {EV} SELECT row_id, user_id, 1704067200000000 + (row_id % 50) * 86400000000 AS timestamp, channel, conversion, CASE WHEN conversion THEN conversion_value ELSE 0.0 END AS conversion_value FROM ev")
+def _sequence(spark, sf):
+    from credence.sources.adapters import sequence_events
+
+    e = touch_stream(spark, sf)
+    raw = e.select("row_id", F.col("user_id").alias("uid"), (F.col("row_id") % 50 + 1).alias("touch_sequence"), "channel", F.col("conversion").cast("int").alias("conversion"), F.col("conversion_value").alias("monetary_value"))
+    return sequence_events(raw).withColumn("timestamp", F.unix_micros("timestamp"))
+
+
+@query(
+    "adapter_funnel",
+    f"""WITH {EV}, k AS (SELECT *, BOOL_OR(conversion) OVER (PARTITION BY user_id) AND ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY row_id DESC) = 1 AS last, MAX(conversion_value) OVER (PARTITION BY user_id) AS revenue FROM ev)
+ SELECT row_id, user_id, epoch_us(ts) AS timestamp, channel, last AS conversion, CASE WHEN last THEN COALESCE(revenue, 1.0) ELSE 0.0 END AS conversion_value FROM k""",
+)
+def _funnel(spark, sf):
+    from credence.sources.adapters import funnel_events
+
+    e = touch_stream(spark, sf)
+    raw = e.select("row_id", F.col("user_id").alias("journey_id"), "channel", F.col("row_id").alias("touch_position"), F.col("timestamp").alias("touch_timestamp"), F.col("conversion").cast("int").alias("converted"), F.col("conversion_value").alias("revenue"))
+    return funnel_events(raw).withColumn("timestamp", F.unix_micros("timestamp"))
+
+
+@query("adapter_daily", f"WITH {EV} SELECT row_id, user_id, epoch_us(CAST(CAST(ts AS DATE) AS TIMESTAMP)) AS timestamp, channel, conversion FROM ev")
+def _daily(spark, sf):
+    from credence.sources.adapters import daily_touch_events
+
+    raw = touch_stream(spark, sf).select("row_id", "user_id", F.date_format("timestamp", "yyyy-MM-dd").alias("touchpoint_date"), "channel", F.col("conversion").cast("int").alias("conversion"))
+    return daily_touch_events(raw).withColumn("timestamp", F.unix_micros("timestamp"))
+
+
+@query("corrupt_noise", f"WITH {EV} SELECT row_id, epoch_us(ts) + CAST('0x' || SUBSTR({_key('noise', 'row_id')}, 1, 12) AS BIGINT) % 7200000001 - 3600000000 AS timestamp FROM ev")
+def _noise(spark, sf):
+    return corruption.corrupt(touch_stream(spark, sf), timestamp_noise="1h").frame.select("row_id", F.unix_micros("timestamp").alias("timestamp"))
+
+
+@query("dq_conversion_timestamp", f"WITH {EV} SELECT COUNT(*) FILTER (row_id % 71 = 0) AS invalid_conversion_timestamp, COUNT(DISTINCT user_id) FILTER (row_id % 71 = 0) AS users_invalid_conversion_timestamp, COUNT(*) FILTER (row_id % 71 = 0 AND conversion) AS conversions_invalid_conversion_timestamp FROM ev")
+def _dq_conversion_timestamp(spark, sf):
+    at = F.when(F.col("row_id") % 71 == 0, "soon").when(F.col("row_id") % 3 == 0, F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss"))
+    got = quality.quality_counts(touch_stream(spark, sf).withColumn("conversion_timestamp", at))
+    return got.select("invalid_conversion_timestamp", "users_invalid_conversion_timestamp", "conversions_invalid_conversion_timestamp")
+
+
+@query(
+    "model_agreement",
+    f"""WITH {J}, models AS ({MODELS}), g0 AS (SELECT a.model, b.channel, ROUND(COALESCE(m.share, 0.0), 12) AS share FROM (SELECT DISTINCT model FROM models) a CROSS JOIN (SELECT DISTINCT channel FROM models) b LEFT JOIN models m ON m.model = a.model AND m.channel = b.channel),
+ gx AS (SELECT model, channel, share / SUM(share) OVER (PARTITION BY model) AS share, ROUND(share / SUM(share) OVER (PARTITION BY model), 12) AS x FROM g0), {SPEARMAN.format(s='model', g='gx')},
+ p AS (SELECT a, b, {RHO} AS rho, SUM(CASE WHEN pa > 0 THEN pa * log2(pa / ((pa + pb) / 2)) ELSE 0 END + CASE WHEN pb > 0 THEN pb * log2(pb / ((pa + pb) / 2)) ELSE 0 END) / 2 AS js, MAX(ABS(pa - pb)) AS d FROM pr GROUP BY a, b),
+ v AS (SELECT AVG(v) AS v, COUNT(*) AS n FROM (SELECT channel, VAR_POP(r) AS v FROM av GROUP BY channel)), t AS (SELECT AVG(rho) AS rho, AVG(js) AS js, MAX(d) AS d FROM p)
+ SELECT {r('100 * ((rho + 1) / 2 + 1 - LEAST(1, js) + 1 - LEAST(1, d) + 1 - LEAST(1, v / GREATEST(1, (n - 1) * (n - 1) / 4.0))) / 4', 'agreement_score')}, {r('v', 'rank_variance')} FROM t, v""",
+)
+def _agreement(spark, sf):
+    got = audits.agreement(_all_models(spark, sf))
+    return spark.createDataFrame([(round(got["agreement_score"], 6), round(got["rank_variance"], 6))], "agreement_score double, rank_variance double")

@@ -20,8 +20,9 @@ class DatasetNotAvailableError(FileNotFoundError):
 
 
 def resolve_path(path: str | None, variable: str, names: list[str]) -> str:
-    """The given path, or one named by an environment variable, or a known name in ``./data``."""
-    for found in (path, os.environ.get(variable), *(str(Path("data") / n) for n in names)):
+    """The given path, or one named by an environment variable, or a known name in ``./data``. A given path that isn't there is an error."""
+    places = (path,) if path else (os.environ.get(variable), *(str(Path("data") / n) for n in names))
+    for found in places:
         if found and ("://" in found or Path(found).exists()):
             return found
     raise DatasetNotAvailableError(f"give a path, set {variable}, or put one of {names} into ./data")
@@ -47,9 +48,9 @@ def _numbered(df: DataFrame) -> DataFrame:
 
 def read_impression_log(spark: SparkSession, path: str, nrows: int | None = None) -> DataFrame:
     """A tab-separated impression log; a gzip file is one split, so it is dealt out after reading."""
-    df = spark.read.csv(path, header=True, sep="\t", inferSchema=True)
+    df = spark.read.csv(path, header=True, sep="\t")  # one pass: kinds are known, so none is inferred
     _need(df, IMPRESSION_LOG_COLUMNS)
-    df = _numbered(df)
+    df = _numbered(df.select(*(F.col(f"`{c}`").try_cast("double" if c in ("cost", "cpo") else "long").alias(c) for c in df.columns)))
     if nrows is not None:
         df = df.orderBy("row_id").limit(nrows)
     return df.repartition("uid") if path.endswith(".gz") else df

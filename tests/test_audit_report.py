@@ -80,6 +80,12 @@ def test_report_as_text_and_data(spark, report, tmp_path):
         assert (tmp_path / "x.png").stat().st_size
 
 
+def test_report_is_saved(spark, report, tmp_path):
+    report.save(str(tmp_path / "out"))
+    assert spark.read.csv(str(tmp_path / "out" / "sensitivity"), header=True).count() == report.sensitivity.count()
+    assert json.loads(spark.read.text(str(tmp_path / "out" / "report")).first()[0])["label"] == report.label
+
+
 def test_single_checks(spark, stream):
     audit = ReliabilityAudit(stream)
     got = audit.check_contamination()
