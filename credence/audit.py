@@ -251,6 +251,16 @@ def _unknown(check: str, reason: str, metric: str, value=None, severity: str = "
     return CheckResult(check, status, severity, None, [Finding(check, severity, reason, 0, {}, metric, value)], metrics or {}, reason)
 
 
+def _kept(table: DataFrame) -> DataFrame:
+    """A credit table (a row a channel, model and scenario) as it is now, so that what follows doesn't build journeys again."""
+    return table.sparkSession.createDataFrame(table.toArrow())
+
+
+def _mean_length(touches: DataFrame) -> float:
+    got = touches.agg(F.count(F.lit(1)).alias("touches"), F.count_if(F.col("pos") == 1).alias("journeys")).first()
+    return got["touches"] / got["journeys"] if got["journeys"] else 0.0
+
+
 def _window_name(us) -> str:
     return f"{us / 86_400_000_000:g}D"
 
@@ -311,10 +321,9 @@ class ReliabilityAudit:
             raise ValueError("windows must be given")
         if len({positive(w) for w in windows}) < 2:
             return _unknown("conversion_window", "at least two different windows are needed", "window_count", 1)
-        credits = audits.window_credits(self._frame(frame), windows, model, self.lookback).persist()
+        credits = _kept(audits.window_credits(self._frame(frame), windows, model, self.lookback))
         rhos = {f"{_window_name(r['a'])}__{_window_name(r['b'])}": r["spearman"] for r in audits.rank_correlations(credits).collect()}
         ranges = audits.scenario_grid(credits).groupBy("channel").agg((F.max("share") - F.min("share")).alias("shares"), (F.max("rank") - F.min("rank")).alias("ranks")).collect()  # a row a channel
-        credits.unpersist()
         risky = sorted(r["channel"] for r in ranges if r["shares"] >= limits.high_risk_share_change or r["ranks"] >= limits.high_risk_rank_change)
         volatility, rho = max((r["shares"] for r in ranges), default=0.0), min(rhos.values(), default=1.0)
         if rho < limits.high_spearman or volatility >= limits.high_share_volatility:
@@ -329,22 +338,23 @@ class ReliabilityAudit:
         message = f"over {len(metrics['windows'])} windows ranks correlate {rho:.3f} at least and a share moves by {volatility:.1%} at most"
         return _found("conversion_window", severity, score, message, "max_share_volatility", volatility, metrics, "Look at the channels at risk and give reasons for the window in use.", len(risky), limits, scenarios)
 
-    def check_contamination(self, frame: DataFrame | None = None, short_window=7, reference_window=30, thresholds: ContaminationThresholds | None = None) -> CheckResult:
+    def check_contamination(self, frame: DataFrame | None = None, short_window=7, reference_window=30, thresholds: ContaminationThresholds | None = None, exposure: Callable[[], dict] | None = None) -> CheckResult:
         limits, frame = thresholds or ContaminationThresholds(), self._frame(frame)
-        windows = {"short_window": short_window, "reference_window": reference_window}
-        got = audits.contamination(frame, **windows).first().asDict()
+        users = audits.contamination_users(frame, short_window, reference_window).persist()
+        got = audits.count_classes(users).first().asDict()
         won = got["short"] + got["delayed"] + got["post"]
         rate = got["delayed_rate"]
-        got |= {"observed_converters": won, "delayed_rate_of_converters": got["delayed"] / won if won else 0.0, "exposure": audits.exposure_comparison(frame)}
-        got["by_channel"] = [r.asDict() for r in audits.contamination(frame, "first_channel", **windows).orderBy("first_channel").collect()]
+        got |= {"observed_converters": won, "delayed_rate_of_converters": got["delayed"] / won if won else 0.0, "exposure": exposure() if exposure else audits.exposure_comparison(frame)}
+        got["by_channel"] = [r.asDict() for r in audits.count_classes(users, "first_channel").orderBy("first_channel").collect()]
         if "campaign_id" in frame.columns:
-            got["by_campaign"] = [r.asDict() for r in audits.contamination(frame, "first_campaign", **windows).where("first_campaign is not null").orderBy("first_campaign").collect()]
+            got["by_campaign"] = [r.asDict() for r in audits.count_classes(users, "first_campaign").where("first_campaign is not null").orderBy("first_campaign").collect()]
+        users.unpersist()
         severity = "CRITICAL" if rate >= limits.critical_rate else "HIGH" if rate >= limits.high_rate else "MEDIUM" if rate >= limits.medium_rate else "LOW" if got["delayed"] else "PASS"
         message = f"{got['delayed']} of {got['users']} users ({rate:.1%}) convert after the short window and within the reference window"
         return _found("converter_contamination", severity, 100 * (1 - min(1.0, rate / limits.critical_rate)), message, "delayed_rate", rate, got, "Don't take those without a conversion in the short window for negatives before the reference window has passed.", got["delayed"], limits)
 
-    def check_exposure(self, frame: DataFrame | None = None, thresholds: ExposureThresholds | None = None) -> CheckResult:
-        limits, got = thresholds or ExposureThresholds(), audits.exposure_comparison(self._frame(frame))
+    def check_exposure(self, frame: DataFrame | None = None, thresholds: ExposureThresholds | None = None, exposure: Callable[[], dict] | None = None) -> CheckResult:
+        limits, got = thresholds or ExposureThresholds(), exposure() if exposure else audits.exposure_comparison(self._frame(frame))
         tv, ratio = got["channel_distance"], got["ratio"]
         widest = max(ratio, 1 / ratio) if ratio else 1.0
         severity = "MEDIUM" if tv >= limits.high_channel_mix_distance else "LOW" if tv >= limits.channel_mix_distance or widest >= limits.touch_count_ratio else "PASS"
@@ -385,7 +395,7 @@ class ReliabilityAudit:
         if len(summary) < 2:
             return _unknown("model_stability", f"at least two periods are needed, there are {len(summary)}", "period_count", len(summary))
         rates = [r["conversion_rate"] for r in summary]
-        credits = audits.period_credits(touches, model, period)
+        credits = _kept(audits.period_credits(touches, model, period))
         ranges = audits.period_ranges(credits).agg(F.max("share_range").alias("s"), F.max("rank_range").alias("r")).first()
         shares, ranks, drift, same = ranges["s"] or 0.0, ranges["r"] or 0.0, max(rates) - min(rates), None
         flags = [shares / limits.share_volatility, ranks / limits.rank_volatility, drift / limits.conversion_rate_drift]
@@ -405,7 +415,7 @@ class ReliabilityAudit:
     check_temporal_stability = check_model_stability
     check_delayed_converter_contamination = check_contamination
 
-    def simulate(self, name: str, frame: DataFrame | None = None, rates: Iterable[float] | float = (0.05, 0.10, 0.20), models: Iterable[str] | str | None = None, seed: int = 42, **losses) -> CheckResult:
+    def simulate(self, name: str, frame: DataFrame | None = None, rates: Iterable[float] | float = (0.05, 0.10, 0.20), models: Iterable[str] | str | None = None, seed: int = 42, touches: DataFrame | None = None, **losses) -> CheckResult:
         """Credit after damage at each rate, against credit before it. ``event_loss`` takes impression_loss, click_loss and event_type_col."""
         models, frame = self._models(models if models is not None else self.models), self._frame(frame)
         rates = [rates] if isinstance(rates, int | float) else list(dict.fromkeys(rates))
@@ -415,18 +425,19 @@ class ReliabilityAudit:
             plan = [(f"impression={losses.get('impression_loss', 0):g},click={losses.get('click_loss', 0):g}", max(losses.get("impression_loss", 0), losses.get("click_loss", 0)), losses)]
         else:
             plan = [(f"{rate:g}", rate, {name: rate}) for rate in rates]
-        size = journeys.paths(self._journeys(frame)).agg(F.avg("touches")).first()[0] or 0.0
-        base = attribution.attribute_all(self._journeys(frame), models).persist()
+        touches = self._journeys(frame) if touches is None else touches
+        size, base = _mean_length(touches), _kept(attribution.attribute_all(touches, models))
         users = frame.select(F.col("user_id").cast("string").alias("user_id")).distinct()
         known = users.count() if name == "identity_loss" else 0
         preferred = "linear" if "linear" in models else None
         scenarios, listed = None, []
         for i, (label, rate, args) in enumerate(plan):
             damaged = corruption.corrupt(frame, **args, random_state=seed + i)
-            touches = self._journeys(damaged.frame)
-            credits = attribution.attribute_all(touches, models)
+            left = self._journeys(damaged.frame).persist()
+            credits = _kept(attribution.attribute_all(left, models))
             moved = {r["model"]: (r["total_variation"] or 0.0, r["max_drift"] or 0.0) for r in audits.total_variation(audits.share_drift(base, credits, ["model"]), ["model"]).collect()}  # a row a model
-            length = journeys.paths(touches).agg(F.avg("touches")).first()[0] or 0.0
+            length = _mean_length(left)
+            left.unpersist()
             new = damaged.frame.select(F.col("user_id").cast("string").alias("user_id")).distinct().join(users, "user_id", "left_anti").count() if known else 0
             listed.append({
                 "label": label, "requested_rate": rate, "row_counts": damaged.row_counts, "max_share_drift": max((d for _, d in moved.values()), default=0.0), "instability": max((t for t, _ in moved.values()), default=0.0),
@@ -435,7 +446,6 @@ class ReliabilityAudit:
             if preferred:
                 one = credits.where(F.col("model") == preferred).select(F.lit(f"{name}:{label}").alias("scenario"), "channel", "share")
                 scenarios = one if scenarios is None else scenarios.unionByName(one)
-        base.unpersist()
         worst = {k: max(abs(x[k]) for x in listed) for k in ("max_share_drift", "instability", "path_length_change", "fragmentation_rate")}
         drift = worst["max_share_drift"]
         severity = "HIGH" if drift >= 0.20 else "MEDIUM" if drift >= 0.10 else "LOW" if drift >= 0.05 else "PASS"
@@ -463,7 +473,7 @@ class ReliabilityAudit:
             return _unknown("markov_identification", f"{got['journeys']} journeys are few for {got['channels']} channels; {least} are needed", "markov_identified", 1, metrics=got)
         return _found("markov_identification", "PASS", 100.0, f"removal effects are identified from {got['null_paths']} journeys without conversion", "markov_identified", 1, got, "", got["null_paths"])
 
-    def _damage(self, frame: DataFrame, wanted: list[str], simulations: Mapping | None, models: list[str], seed: int) -> dict[str, Callable[[], CheckResult]]:
+    def _damage(self, frame: DataFrame, touches: DataFrame, wanted: list[str], simulations: Mapping | None, models: list[str], seed: int) -> dict[str, Callable[[], CheckResult]]:
         """The simulations to run: by default both losses at 10 % on linear credit; those configured, on all models."""
         given = dict(simulations or {})
         unknown = set(given) - {"identity_loss", "touchpoint_loss", "event_loss"}
@@ -481,7 +491,7 @@ class ReliabilityAudit:
                 if name == "event_loss":
                     raise TypeError("event_loss takes a mapping")
                 options["rates"] = value
-            out[name] = lambda name=name, options=options: self.simulate(name, frame, **options)
+            out[name] = lambda name=name, options=options: self.simulate(name, frame, touches=touches, **options)
         return out
 
     def run(self, simulations: Mapping | None = None, windows=(7, 14, 30), bootstrap: bool | robustness.BootstrapConfig | None = None, seed: int = 42, checks: Iterable[str] | str | None = None, events: DataFrame | None = None, models: Iterable[str] | None = None, n_bootstrap: int = 200) -> AuditReport:
@@ -491,15 +501,18 @@ class ReliabilityAudit:
         frame, _ = validate_events(source, self.columns)
         frame = frame.persist()
         touches = self._journeys(frame).persist()
-        credits = attribution.attribute_all(touches, models).persist()
+        touches.count()  # fills the cache once, before the checks read it side by side
+        credits = _kept(attribution.attribute_all(touches, models))
+        compare: list = []  # one comparison that two checks read
         work = {
             "data_quality": lambda: self.check_data_quality(source), "duplicates": lambda: self.check_duplicates(source), "model_disagreement": lambda: self.check_model_disagreement(credits), "path_sparsity": lambda: self.check_path_sparsity(touches),
-            "channel_concentration": lambda: self.check_concentration(touches, credits), "conversion_window": lambda: self.check_conversion_window(frame, windows, models[-1]), "converter_contamination": lambda: self.check_contamination(frame),
-            "model_stability": lambda: self.check_model_stability(touches, model=models[-1]), "exposure_comparison": lambda: self.check_exposure(frame), "markov_identification": lambda: self.check_identification(touches, models),
+            "channel_concentration": lambda: self.check_concentration(touches, credits), "conversion_window": lambda: self.check_conversion_window(frame, windows, models[-1]), "converter_contamination": lambda: self.check_contamination(frame, exposure=lambda: compare[0].result()),
+            "model_stability": lambda: self.check_model_stability(touches, model=models[-1]), "exposure_comparison": lambda: self.check_exposure(frame, exposure=lambda: compare[0].result()), "markov_identification": lambda: self.check_identification(touches, models),
         }
-        work = {k: f for k, f in work.items() if k in wanted} | self._damage(frame, wanted, simulations, models, seed)
-        touches.count()  # fills the cache once, before the checks read it side by side
+        work = {k: f for k, f in work.items() if k in wanted} | self._damage(frame, touches, wanted, simulations, models, seed)
         with ThreadPoolExecutor(AT_ONCE) as pool:  # the checks are independent Spark jobs
+            if {"converter_contamination", "exposure_comparison"} & set(work):
+                compare.append(pool.submit(lambda: audits.exposure_comparison(frame)))  # submitted first, so whoever waits for it waits for a running job
             pending = {k: pool.submit(work[k]) for k in CHECKS if k in work}
             about = pool.submit(lambda: journeys.summary(touches).first().asDict())
             grain = pool.submit(lambda: touches.agg(F.count_distinct("channel")).first()[0])
@@ -515,7 +528,7 @@ class ReliabilityAudit:
         for r in results:
             if r.scenarios is not None:
                 scenarios = scenarios.unionByName(r.scenarios)
-        scenarios = robustness.with_credit(scenarios).persist()
+        scenarios = _kept(robustness.with_credit(scenarios))
         drawn = None
         if bootstrap:
             drawn = robustness.bootstrap(touches, models, bootstrap if isinstance(bootstrap, robustness.BootstrapConfig) else robustness.BootstrapConfig(n_iterations=n_bootstrap, random_state=seed))
@@ -523,11 +536,11 @@ class ReliabilityAudit:
         decisions, said = None, f"Decision robustness was not evaluated: {different} different scenarios and {channels} channels; two of each are needed."
         if different >= 2 and channels >= 2:
             ranks = drawn.draws.where(F.col("model") == preferred) if drawn is not None and drawn.evaluated else None
-            decisions = robustness.decision_robustness(scenarios, "baseline", ranks).persist()
+            decisions = _kept(robustness.decision_robustness(scenarios, "baseline", ranks))
             said = robustness.interpret(decisions)
         scores = {r.check: r.score for r in results if r.status == "evaluated" and r.score is not None}
         total = reliability_score(scores, self.weights)
         return AuditReport(
             results, total, score_label(total), component_scores(scores), credits, robustness.matrix(scenarios), decisions, drawn, self.minimum_severity, about, about["non_converted_journeys"] > 0 if "markov" in models else None,
-            "campaign" if grain > 50 else "channel", "evaluated" if different >= 2 else "insufficient_evidence", said, self.sample_info, [t for t in (frame, touches, credits, scenarios, decisions) if t is not None],
+            "campaign" if grain > 50 else "channel", "evaluated" if different >= 2 else "insufficient_evidence", said, self.sample_info, [frame, touches],
         )

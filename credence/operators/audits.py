@@ -77,7 +77,10 @@ def contamination_users(frame: DataFrame, short_window=7, reference_window=30) -
 
 def contamination(frame: DataFrame, by: str | None = None, **windows) -> DataFrame:
     """Users of each class, over all or by first channel or first campaign."""
-    users = contamination_users(frame, **windows)
+    return count_classes(contamination_users(frame, **windows), by)
+
+
+def count_classes(users: DataFrame, by: str | None = None) -> DataFrame:
     keys = [by] if by else []
     grouped = users.groupBy(*keys) if keys else users.groupBy()
     classes = [F.count_if(F.col("class") == c).alias(c) for c in ("short", "delayed", "post", "none")]
