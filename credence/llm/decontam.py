@@ -4,14 +4,16 @@ Texts become runs of word columns: a word of the benchmark has its column, any o
 are counted over all passages of all documents (runs of ``WINDOW`` words, one every ``STRIDE``). The TF-IDF matrix of the benchmark's passages and of
 those of all documents that lie side by side (so that every word counts, once), each of length 1, gives a latent space of ``RANK`` dimensions by a distributed randomised SVD: tasks
 multiply their passages with a random sketch and add the products up by word, once for a basis and once more for the singular vectors in
-it; blocks of the sums are added in executors. Every passage is projected, and its cosine with each
+it; blocks of the sums are added in executors. Every passage that can hold a leak (by the bound below) is projected, and its cosine with each
 benchmark passage in that space gives candidates (``COSINE``). A candidate is checked on the words around it: the longest common subsequence with the
 whole item (bit-parallel), within a stretch of bounded length. ``VERBATIM`` of the item's words in order is a leak; from
-``PARAPHRASE`` on it is one if the item's answer (its last sentence) is found there in order, too.
+``PARAPHRASE`` on it is one if the item's answer (its last sentence) is found there in order, too. What the latent search finds may also have been
+put in another order: a candidate is a leak (``reordered``), too, if some stretch as long as the item holds ``VERBATIM`` of its words in whatever order.
 
 What a space of few dimensions blurs is made up for by an exact bound (``_near``): of an item of L words of which m must match, all but
-L - m + k rarest may be missing only if k of these are near the passage. Candidates out of that bound can't pass the check and are not
-tried; pairs within it that are no candidates are checked all the same, so that no leak is lost. ``retrieved`` tells which leaks the latent search gave.
+L - m + k rarest may be missing only if k of these are near the passage, whatever their order. Candidates out of that bound can't pass either check and
+are not tried; pairs within it that are no candidates are checked for words in order all the same, so that no such leak is lost. ``retrieved`` tells
+which leaks the latent search gave; reordered ones come from it alone.
 
 The benchmark is read in blocks of about ``BLOCK_BYTES`` of text (a longer item is one by itself), so what is broadcast doesn't grow with the number of
 items. Documents are never dropped, cut or sampled.
@@ -23,6 +25,7 @@ passage. Repeated documents or items are reported each. Equal leaks in one docum
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -39,7 +42,7 @@ BLOCK_BYTES, RANK, OVERSAMPLE = 1 << 19, 64, 8
 COSINE, VERBATIM, PARAPHRASE, ANSWER = 0.5, 0.8, 0.55, 0.6
 CHUNK, SUMS, TASK_PASSAGES = 1024, 32, 100_000  # passages multiplied at once; blocks of a sum; passages a task sums up at least
 RUN = 8
-LEAK = "doc_id long, item_id long, start_word long, matched long, item_words long, cosine double, verbatim boolean, retrieved boolean"
+LEAK = "doc_id long, item_id long, start_word long, matched long, item_words long, cosine double, verbatim boolean, retrieved boolean, reordered boolean"
 
 
 @dataclass
@@ -251,9 +254,39 @@ def common_subsequence(a: np.ndarray, b: np.ndarray) -> int:
     return _matched(len(a), _places(a), b)
 
 
+def gathered(a: np.ndarray, b: np.ndarray) -> int:
+    """Most words of ``a``, each as often as there at most and in any order, in a stretch of ``b`` as long as ``a``."""
+    n, found, most = len(a), 0, 0
+    missing = Counter(a.tolist())
+    b = b.tolist()
+    for k, x in enumerate(b):
+        if x in missing:
+            found += missing[x] > 0
+            missing[x] -= 1
+        if k >= n and (gone := b[k - n]) in missing:
+            missing[gone] += 1
+            found -= missing[gone] > 0
+        most = max(most, found)
+    return most
+
+
+def _held(columns: np.ndarray, b: np.ndarray, none: np.ndarray) -> np.ndarray:
+    """Which words of ``b`` are among ``columns``; ``none`` has a False for each word and for -1, and is left so."""
+    none[columns] = True
+    held = none[b]
+    none[columns] = False
+    return held
+
+
+def _can_gather(n: int, held: np.ndarray) -> bool:
+    """Whether enough of the item's words for ``gathered``, counted with repeats, lie in a stretch of ``n``."""
+    count = np.concatenate([[0], np.cumsum(held)])
+    return (count[-1] if len(held) <= n else (count[n:] - count[:-n]).max()) / n >= VERBATIM
+
+
 @dataclass
 class Rare:
-    """The rarest words of each item: ``items`` has those of word c from ``first[c]`` to ``first[c + 1]``. ``needed`` of them, and ``least`` of all words, are in any leak."""
+    """The rarest words of each item: ``items`` has those of word c from ``first[c]`` to ``first[c + 1]``. ``needed`` of them, and ``least`` of all words (in order or not), are in any leak."""
 
     first: np.ndarray
     items: np.ndarray
@@ -315,6 +348,7 @@ def _search(shared: object):
         items, space, latent, item_of, rare = shared.value
         places, answers = [_places(c) for c in items.columns], [_places(a) for a in items.answers]
         first = np.flatnonzero(np.concatenate([[True], np.diff(item_of) > 0]))
+        none = np.zeros(len(space), bool)
         for docs, part, flat, start, (end, owner) in _passages(batches):
             if not len(start):
                 continue
@@ -322,22 +356,30 @@ def _search(shared: object):
             passages, found = _near(rare, flat, base, start)
             cosine = np.zeros(len(passages), np.float32)
             order = np.argsort(passages, kind="stable")
-            for at in range(0, len(start), CHUNK):
-                product = _projected(_windows(flat, start[at : at + CHUNK], end[at : at + CHUNK]), space) @ latent.T
+            tried = np.unique(passages)
+            for at in range(0, len(tried), CHUNK):
+                some = tried[at : at + CHUNK]
+                product = _projected(_windows(flat, start[some], end[some]), space) @ latent.T
                 best_of = np.maximum.reduceat(product, first, axis=1)
-                mine = order[slice(*np.searchsorted(passages, (at, at + CHUNK), sorter=order))]
-                cosine[mine] = best_of[passages[mine] - at, found[mine]]
+                mine = order[slice(*np.searchsorted(passages, (some[0], some[-1] + 1), sorter=order))]
+                cosine[mine] = best_of[np.searchsorted(some, passages[mine]), found[mine]]
             # pairs in runs of neighbours; what isn't in the words around a run isn't around any passage of it
             apart = (np.diff(passages) != 1) | (np.diff(found) != 0) | (np.diff(owner[passages]) != 0)
             run_no = np.cumsum(np.concatenate([[0], apart])) if len(passages) else passages
             run_no = run_no * (len(passages) + 1) + (np.arange(len(passages)) - np.searchsorted(run_no, run_no)) // RUN
             edges = np.flatnonzero(np.concatenate([[True], run_no[1:] != run_no[:-1], [True]])) if len(passages) else np.zeros(1, np.int64)
+            candidates = np.maximum.reduceat(cosine, edges[:-1]) >= COSINE if len(passages) else []
             close: set[tuple[int, int]] = set()
-            for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            for a, b, candidate in zip(edges[:-1].tolist(), edges[1:].tolist(), candidates, strict=True):
                 i, o = int(found[a]), int(owner[passages[a]])
                 n = len(items.columns[i])
                 around = part[o][max(0, start[passages[a]] - base[o] - n) : start[passages[b - 1]] - base[o] + WINDOW + n]
-                if _matched(n, places[i], around) >= rare.least[i]:
+                held = _held(items.columns[i], around, none)
+                n_held = np.count_nonzero(held)
+                if n_held < rare.least[i]:
+                    continue
+                any_order = candidate and n_held / n >= VERBATIM and _can_gather(n, held)
+                if _matched(n, places[i], around[held]) >= rare.least[i] or (any_order and gathered(items.columns[i], around) / n >= VERBATIM):
                     close.update((p, i) for p in passages[a:b].tolist())
             scores = {pair: float(x) for *pair_, x in zip(passages.tolist(), found.tolist(), cosine, strict=True) if (pair := tuple(pair_)) in close}
             best: dict[tuple[int, int], tuple] = {}
@@ -347,19 +389,18 @@ def _search(shared: object):
                 lo = int(max(0, start[p] - base[o] - n))
                 near = part[o][lo : start[p] - base[o] + WINDOW + n]
                 matched = _matched(n, places[i], near)
-                if matched < rare.least[i]:
-                    continue
                 verbatim = matched / n >= VERBATIM
-                if not verbatim and _matched(len(items.answers[i]), answers[i], near) < ANSWER * len(items.answers[i]):
+                ordered = matched >= rare.least[i] and (verbatim or _matched(len(items.answers[i]), answers[i], near) >= ANSWER * len(items.answers[i]))
+                if not ordered and (score < COSINE or gathered(items.columns[i], near) / n < VERBATIM):
                     continue
                 if score >= COSINE:
                     retrieved.add((o, i))
-                if (o, i) not in best or (matched, score) > best[o, i][:2]:
-                    best[o, i] = (matched, score, lo, n, verbatim)
-            out = [(docs[o], items.ids[i], lo, matched, n, score, verbatim, (o, i) in retrieved) for (o, i), (matched, score, lo, n, verbatim) in best.items()]
+                if (o, i) not in best or (ordered, matched, score) > best[o, i][:3]:
+                    best[o, i] = (ordered, matched, score, lo, n, verbatim)
+            out = [(docs[o], items.ids[i], lo, matched, n, score, verbatim, (o, i) in retrieved, not ordered) for (o, i), (ordered, matched, score, lo, n, verbatim) in best.items()]
             if out:
-                kinds = [pa.int64()] * 5 + [pa.float64(), pa.bool_(), pa.bool_()]
-                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], names=["doc_id", "item_id", "start_word", "matched", "item_words", "cosine", "verbatim", "retrieved"])
+                kinds = [pa.int64()] * 5 + [pa.float64(), pa.bool_(), pa.bool_(), pa.bool_()]
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], names=[f.split()[0] for f in LEAK.split(", ")])
 
     return run
 
@@ -379,7 +420,7 @@ def _search_block(spark: SparkSession, rows: DataFrame, items: Items) -> DataFra
 
 
 def leaks(spark: SparkSession, documents: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """One row for each document and item found in it: doc_id, item_id, start_word, matched, item_words, cosine, verbatim, retrieved."""
+    """One row for each document and item found in it: doc_id, item_id, start_word, matched, item_words, cosine, verbatim, retrieved, reordered."""
     common.short_batches(spark)
     rows = common.texts(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "doc_id")
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))

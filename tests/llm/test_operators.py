@@ -322,6 +322,40 @@ def test_leaks_against_the_check_on_every_passage(spark):
     assert got == want and len(want) > 120
 
 
+def test_gathered_words_against_counts():
+    rng = np.random.default_rng(12)
+    for _ in range(200):
+        a, b = rng.integers(0, 9, int(rng.integers(1, 15))), rng.integers(-1, 9, int(rng.integers(0, 40)))
+        stretches = [collections.Counter(b[k : k + len(a)].tolist()) for k in range(max(1, len(b) - len(a) + 1))]
+        assert decontam.gathered(a, b) == max((collections.Counter(a.tolist()) & s).total() for s in stretches)
+
+
+def test_candidates_of_the_latent_search_are_leaks_in_any_order(spark, monkeypatch):
+    """The order-free check against brute force where every pair is a candidate; leaks in order are the same ones as without any candidate."""
+    rng = np.random.default_rng(9)
+    text = {i: _spoken(rng, n, 800) for i, n in enumerate([4, 7, 12, 20, 40, 90])}
+    docs = []
+    for d in range(90):
+        w = text[d % len(text)]
+        parts = [w[k : k + 3] for k in range(0, len(w), 3)]
+        mixed = [x for k in rng.permutation(len(parts)) for x in parts[k] if rng.random() < (1, 0.9, 0.75)[d // 6 % 3]]
+        docs.append((d, _spoken(rng, int(rng.integers(0, 150)), 800) + mixed + _spoken(rng, int(rng.integers(0, 150)), 800)))
+    want = set()
+    for d, t in docs:
+        for i, w in text.items():
+            code = {x: k for k, x in enumerate({*t, *w})}
+            item, whole = (np.array([code[x] for x in y], np.int64) for y in (w, t))
+            if any(decontam.gathered(item, whole[max(0, s - len(w)) : s + decontam.WINDOW + len(w)]) / len(w) >= 0.8 for s in decontam._starts(len(t))):
+                want.add((d, i))
+    frames = spark.createDataFrame([(d, " ".join(t)) for d, t in docs], "doc_id long, text string"), spark.createDataFrame([(i, " ".join(w)) for i, w in text.items()], "item_id long, text string")
+    found = {}
+    for cosine in (-1.0, 2.0):
+        monkeypatch.setattr(decontam, "COSINE", cosine)
+        found[cosine] = {(r["doc_id"], r["item_id"]): (r["reordered"], r["matched"]) for r in decontam.leaks(spark, *frames).collect()}
+    ordered = {pair: x for pair, x in found[-1.0].items() if not x[0]}
+    assert ordered == found[2.0] and set(found[-1.0]) == want | set(ordered) and len(found[-1.0]) > len(ordered) + 20
+
+
 # --- 5
 
 
